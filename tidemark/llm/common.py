@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
@@ -50,7 +52,13 @@ def map_arrow(
                 got = fn(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([_column(got[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
 
 def _column(values, kind: pa.DataType) -> pa.Array:

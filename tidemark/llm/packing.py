@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 TOKENIZER = "byte_bpe_50k"
 
 # The vocabulary's split pattern; the characters outside common alphabets.
@@ -243,7 +245,7 @@ def _packed(source: DataFrame, items: Callable, kind: str, limits: Limits, with_
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def pack_conversations(
