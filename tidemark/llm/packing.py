@@ -68,9 +68,9 @@ class Limits:
 
 @dataclass
 class Item:
-    """A stretch of one example: ``loss`` marks which of its tokens bear loss, None for all."""
+    """A stretch of one example: ``owner`` is its id and token count, ``loss`` marks the tokens that bear loss, None for all."""
 
-    owner: int
+    owner: tuple
     start: int
     ids: np.ndarray
     loss: np.ndarray | None = None
@@ -192,16 +192,14 @@ def pack_documents(
     kind = dict(df.select(id_col).dtypes)[id_col]
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def items(batches: Iterator[pa.RecordBatch], owners: dict) -> Iterator[list[Item]]:
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Item]]:
         encode = bpe_tokenizer(tokenizer).encode
-        held, n = [], 0
+        held = []
         for batch in batches:
             for at in range(batch.num_rows):
                 key, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py() or ""
                 ids = np.append(encode(text), np.uint32(end_id))
-                owners[n] = (key, len(ids))
-                held += split_item(Item(n, 0, ids), limits)
-                n += 1
+                held += split_item(Item((key, len(ids)), 0, ids), limits)
                 if len(held) >= batch_pieces:
                     yield held
                     held = []
@@ -218,10 +216,9 @@ def _packed(source: DataFrame, items: Callable, kind: str, limits: Limits, with_
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners: dict[int, tuple] = {}
         serial = TaskContext.get().partitionId() << 40
         carried: list[Item] = []
-        source = items(batches, owners)
+        source = items(batches)
         more = next(source, None)
         while more is not None:
             held, more = carried + more, next(source, None)
@@ -234,14 +231,10 @@ def _packed(source: DataFrame, items: Callable, kind: str, limits: Limits, with_
             for b in bins:
                 offset = 0
                 for it in b:
-                    key, n = owners[it.owner]
+                    key, n = it.owner
                     rows.append((key, it.start, len(it.ids), _crc(it.ids), n, serial, offset) + ((it.ids.astype(np.int32), it.loss if it.loss is not None else np.ones(len(it.ids), bool)) if with_ids else ()))
                     offset += len(it.ids)
                 serial += 1
-            keep = {it.owner for it in carried}
-            last = max(owners, default=-1)
-            for k in [k for k in owners if k not in keep and k < last]:
-                del owners[k]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
@@ -269,9 +262,9 @@ def pack_conversations(
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     source = df.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
-    def items(batches: Iterator[pa.RecordBatch], owners: dict) -> Iterator[list[Item]]:
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Item]]:
         encode = bpe_tokenizer(tokenizer).encode
-        held, n = [], 0
+        held = []
         for batch in batches:
             for at in range(batch.num_rows):
                 parts, marks = [], []
@@ -280,9 +273,7 @@ def pack_conversations(
                     parts.append(ids)
                     marks.append(np.full(len(ids), t["role"] in loss_roles))
                 ids, loss = np.concatenate(parts), np.concatenate(marks)
-                owners[n] = (batch.column(0)[at].as_py(), len(ids))
-                held += split_item(Item(n, 0, ids, loss), limits)
-                n += 1
+                held += split_item(Item((batch.column(0)[at].as_py(), len(ids)), 0, ids, loss), limits)
                 if len(held) >= 4096:
                     yield held
                     held = []
