@@ -79,6 +79,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: A join side of at most so many rows of a few numbers is broadcast (some 20 MB); a larger one is shuffled.
+BROADCAST_ROWS = 400_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if counting shows that it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

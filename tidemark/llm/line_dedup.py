@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_side
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def line_spread(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     )
     near = sketches.where(F.col("estimate") <= rules.min_sites * (1 + rules.margin * rules.error) + 1)
     exact = (
-        lines.join(_bounded(near.select("h", "g")), ["h", "g"], "left_semi")
+        lines.join(small_side(near.select("h", "g")), ["h", "g"], "left_semi")
         .where("site is not null")
         .groupBy("h", "g")
         .agg(F.count_distinct("site").alias("exact"))
@@ -67,14 +67,6 @@ def line_spread(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return settled.where(sites >= rules.min_sites).select("h", "g", sites.alias("sites"), F.col("exact").isNotNull().alias("exact"), "keeper")
 
 
-#: A lookup side of at most so many rows of two hashes is broadcast (16 MB); a larger one is shuffled.
-BROADCAST_ROWS = 400_000
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", rules: SpreadRules = SpreadRules()) -> DataFrame:
     """``df`` with boilerplate lines cut from its texts, and ``n_lines``, ``n_removed`` (long).
 
@@ -85,7 +77,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     spread = materialize(line_spread(df, id_col=id_col, text_col=text_col, site_col=site_col, rules=rules), "line-boilerplate")
     source = df.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
-    hits = _lines(source, rules).join(_bounded(spread.select("h", "g", "keeper")), ["h", "g"])
+    hits = _lines(source, rules).join(small_side(spread.select("h", "g", "keeper")), ["h", "g"])
     hits = hits.groupBy(F.col("row").alias("hit_row")).agg(
         F.collect_set(F.struct("h", "g")).alias("hit_keys"), F.collect_set(F.when(F.col("row") == F.col("keeper"), F.struct("h", "g"))).alias("kept_keys")
     )
