@@ -1,15 +1,63 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, stage by stage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from tidemark.llm import decontam, line_dedup, ngram_join, packing, quality
+from tidemark.llm.common import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fitted on the labelled ones among them, grades above the lowest."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs.select(*COLUMNS), labels)
+
+
+def dedup_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines spread over many sites stay once in the corpus; documents of which nothing is left go, and lengths are brought up to date."""
+    out = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & (F.length(F.btrim(F.coalesce("text", F.lit("")))) == 0)
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.where(~emptied).withColumn("n_chars", length).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs).select(*COLUMNS)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.drop_contaminated(docs, items).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences with their token ids."""
+    return packing.pack_documents(docs).drop("loss")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", dedup_boilerplate),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("packing", pack_sequences),
+]
+
+#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage gives is written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{at}")
     return docs
