@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,15 +93,42 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int = 60) -> DataFrame:
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a bounded graph: hooks the larger root of each edge to the smaller and shortens paths, until no edge joins two roots."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = np.concatenate([np.concatenate(x) for x in zip(*held)])
+    nodes, place = np.unique(ends, return_inverse=True)
+    u, v = place.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    for at in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[at : at + 100_000]), "component": pa.array(nodes[root[at : at + 100_000]])})
+
+
+#: Graphs of at most so many edges (32 MB) are settled within one task; larger ones by rounds over all tasks.
+EDGES_IN_ONE_TASK = 2_000_000
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", *, one_task: int = EDGES_IN_ONE_TASK, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: rows ``(node, component)``, component the smallest node reachable.
 
-    Alternates large-star and small-star steps, so paths shrink geometrically; nothing is collected.
-    Each round is written to the shared folder. Stops when a round leaves the edges as they were.
+    Up to ``one_task`` distinct edges, counted first, one task of an executor does it. Beyond, rounds of large-star and small-star
+    steps shorten paths geometrically; each is written to the shared folder, until one leaves the edges as they were.
+    Nothing is collected.
     """
     now = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges"
+        edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v").distinct(), "edges"
     )
+    if now.limit(one_task + 1).count() <= one_task:
+        return materialize(map_batches(now.coalesce(1), _components, "node bigint, component bigint"), "components")
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
