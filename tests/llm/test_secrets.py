@@ -1,0 +1,77 @@
+import hashlib
+import re
+from math import log2
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import secrets
+
+SHA = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def brute_base(text):
+    """The three patterns as they are given."""
+    key = "".join
+    word = lambda w: key(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join([word("password"), word("passwd"), word("secret"), word("token"), f"{word('api')}_?{word('key')}"])
+    patterns = (("assign", rf"({names})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 8), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 32))
+    found = [(k, m.start(), m.end()) for k, p, ok in patterns for m in re.finditer(p, text) if ok(m)]
+    return sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def brute_windows(run, w, least):
+    covered = set()
+    for i in range(len(run) - w + 1):
+        part = run[i : i + w]
+        bits = -sum(part.count(c) / w * log2(part.count(c) / w) for c in set(part))
+        if bits >= least - 1e-9:
+            covered |= set(range(i, i + w))
+    spans = []
+    for i in sorted(covered):
+        if spans and spans[-1][1] == i:
+            spans[-1][1] = i + 1
+        else:
+            spans.append([i, i + 1])
+    return [tuple(s) for s in spans]
+
+
+def merged(spans):
+    out = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "SECRET", "api_key", "apikey", "ToKen", "=", ":", " ", "'", '"', "AKIA", "ABCDEF1234567890", SHA, "abc", "-./+", "é", "ſecret", "\n", "0123456789abcdef" * 2]), max_size=14))
+def test_base_equals_patterns(parts):
+    text = "".join(parts)
+    assert [x[:3] for x in secrets.SecretScanner().scan(text) if x[0] in secrets.BASE_KINDS] == brute_base(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc019XY", max_size=60))
+def test_windows_equal_plain_entropy(run):
+    got = [(s, e) for s, e, _ in secrets.entropy_spans(run, 8, 2.0)]
+    assert got == merged(brute_windows(run, 8, 2.0))
+
+
+def test_added_spans_and_allow_list():
+    kinds = lambda t: [k for k, *_ in secrets.SecretScanner().scan(t)]
+    assert kinds("key wJalrXUtnFEMIK7MDENGbPxRfiCYzq9Lw2 end") == ["base64_entropy"]
+    assert kinds("sum 9F86D081884C7D659A2FEAA0C55AD015 end") == ["hex_entropy"]
+    for harmless in ("550e8400-e29b-41d4-a716-446655440000", "z" * 60, "internationalizationwithoutdigits", "EXAMPLEwJalrXUtnFEMIK7MDENGbPxRfiCYz", "2024-01-02-2024-01-03-2024-05-09", "some-path/of/words/that/go/on/and/on"):
+        assert kinds(f"x {harmless} y") == [], harmless
+    assert kinds(f'token = "{SHA}"') == ["assign", "hex"]  # nothing is added within what is found by name
+
+
+def test_report(spark, small):
+    rows = {r.doc_id: r for r in secrets.secrets_report(small).collect()}
+    for r in small.collect():
+        base = brute_base(r.text)
+        want = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert rows[r.doc_id].base_sha256 == want and rows[r.doc_id].n_hex == sum(k == "hex" for k, *_ in base)

@@ -54,7 +54,7 @@ def entropy_spans(run: str, window: int, least_bits: float) -> list[tuple[int, i
     """
     if len(run) < window:
         return []
-    term = [0.0] + [c * log2(c) for c in range(1, window + 1)]
+    term = [0.0] + [c * log2(c) for c in range(1, window + 2)]  # a character may fill a window and enter once more
     counts: dict[str, int] = {}
     total, whole = 0.0, log2(window)
     spans: list[tuple[int, int, float]] = []
