@@ -34,10 +34,10 @@ def test_signatures_never_miss(spark):
     words = [f"w{i}" for i in range(5000)]
     items, docs = [], []
     for i in range(60):
-        item = rnd.sample(words, rnd.choice([3, 5, 9, 24, 40, 100, 300]))
+        item = rnd.sample(words, rnd.choice([5, 6, 9, 24, 40, 100, 300]))
         n = max(len(item) - 4, 1)
         keep = -(-n * 8 // 10)
-        part = item[: keep + 4] if len(item) >= 5 else item
+        part = item[: keep + 4]
         items.append((i, " ".join(item)))
         docs.append((i, " ".join(rnd.sample(words, 500) + part + rnd.sample(words, 500))))
         short = item[: keep + 3] if len(item) > 9 else ["nothing"]

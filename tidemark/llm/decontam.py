@@ -65,9 +65,10 @@ def contained_items(
         shingles.join(signed, "h").groupBy("doc", "item").agg(F.count_distinct("h").alias("found"), F.max("needed").alias("needed")).where("found >= needed").select("doc", "item")
     )
     candidates = materialize(candidates, "candidates")
-    wanted = docs.join(small_side(candidates.select(F.col("doc").alias("wanted")).distinct()), docs[id_col] == F.col("wanted"), "left_semi")
+    named = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    wanted = named.join(small_side(candidates.select("doc").distinct()), "doc", "left_semi")
     shared = (
-        _shingles(wanted, id_col, text_col, "doc", n).join(small_side(sets), "h").groupBy("doc", "item").agg(F.count_distinct("h").alias("n_shared"))
+        _shingles(wanted, "doc", "text", "doc", n).join(small_side(sets), "h").groupBy("doc", "item").agg(F.count_distinct("h").alias("n_shared"))
     )
     size = sets.groupBy("item").agg(F.count("*").alias("n_item"))
     pairs = shared.join(candidates, ["doc", "item"], "left_semi").join(small_side(size), "item")
@@ -80,7 +81,8 @@ def contained_items(
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item; rows with a null id stay."""
     hit = materialize(contained_items(docs, items).select(F.col("doc_id").alias("hit_id")).distinct(), "contaminated")
-    return docs.join(small_side(hit), docs["doc_id"] == F.col("hit_id"), "left_anti")
+    hit = small_side(hit)
+    return docs.join(hit, docs["doc_id"] == hit["hit_id"], "left_anti")
 
 
 #: For DuckDB.

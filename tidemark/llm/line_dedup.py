@@ -82,19 +82,21 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         F.collect_set(F.struct("h", "g")).alias("hit_keys"), F.collect_set(F.when(F.col("row") == F.col("keeper"), F.struct("h", "g"))).alias("kept_keys")
     )
     drop = [c for c in ("n_lines", "n_removed") if c in df.columns]
-    base = df.drop(*drop)
-    both = base.join(hits, base[id_col].eqNullSafe(hits["hit_row"]), "left")
-    parts = F.split(text_col, "\n", -1)
+    names = [c for c in df.columns if c not in drop]
+    base = df.select(F.struct(*names).alias("whole"))  # so no name of theirs meets one of ours
+    both = base.join(hits, base["whole"][id_col].eqNullSafe(hits["hit_row"]), "left")
+    text = F.col("whole")[text_col]
+    parts = F.split(text, "\n", -1)
     keys = F.transform(parts, lambda x: F.when(F.length(F.btrim(x)) >= rules.min_chars, line_key(F.btrim(x))))
     stays = lambda x, i: (
         F.coalesce(~F.array_contains("hit_keys", F.get("line_keys", i)), F.lit(True))
         | F.coalesce(F.array_contains("kept_keys", F.get("line_keys", i)) & (F.array_position("line_keys", F.get("line_keys", i)) == i + 1), F.lit(False))
     )
-    hit = F.col("hit_keys").isNotNull() & F.col(text_col).isNotNull()
+    hit = F.col("hit_keys").isNotNull() & text.isNotNull()
     both = both.withColumn("line_keys", F.when(hit, keys)).withColumn("kept_lines", F.when(hit, F.filter(parts, stays)))
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     return both.select(
-        *(F.when(hit, F.array_join("kept_lines", "\n")).otherwise(F.col(c)).alias(c) if c == text_col else base[c] for c in base.columns),
+        *(F.when(hit, F.array_join("kept_lines", "\n")).otherwise(text).alias(c) if c == text_col else F.col("whole")[c].alias(c) for c in names),
         n.alias("n_lines"),
         F.when(hit, n - F.size("kept_lines")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -286,4 +286,5 @@ def _meet(links: DataFrame, tiled: DataFrame, texts: DataFrame, wide: DataFrame,
 def keep_one(docs: DataFrame, *, rules: JoinRules = JoinRules(n=5, percent=80)) -> DataFrame:
     """The rows of ``docs`` without those linked, directly or not, to a document of a smaller id. Rows with a null id stay."""
     gone = similar_texts(docs, rules=rules).where("component_id < doc_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(materialize(gone, "near-copies"), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = materialize(gone, "near-copies")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
