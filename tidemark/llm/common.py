@@ -89,10 +89,6 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All edges of a bounded graph: hooks the larger root of each edge to the smaller and shortens paths, until no edge joins two roots."""
     held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize
-from .textvec import U64, mix, slices, text_bytes, word_hashes
+from .textvec import U64, mix, slices, word_hashes
 
 _START, _END = (mix(np.array([k], dtype=U64))[0] for k in (101, 102))
 #: Bits of bigram hashes; single words have 64.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from math import ceil, floor, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa

@@ -18,8 +18,7 @@ BASE_KINDS = KINDS[:3]
 # The three named patterns and the least length of what they must find.
 _ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]+")
-_HEX_LONG = re.compile(r"[0-9a-f]{32,}")
+_HEX = re.compile(r"[0-9a-f]{32,}")
 _ASSIGN_LEAST, _ACCESS_LEAST, _HEX_LEAST = 8, 16, 32
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -100,7 +99,7 @@ class SecretScanner:
         if "AKIA" in text:
             found += [("access", m.start(), m.end(), 0.0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= _ACCESS_LEAST]
         if long_run:
-            found += [("hex", m.start(), m.end(), 0.0) for m in _HEX_LONG.finditer(text)]
+            found += [("hex", m.start(), m.end(), 0.0) for m in _HEX.finditer(text)]
         return found
 
     def added(self, text: str, base: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:

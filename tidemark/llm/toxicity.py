@@ -136,14 +136,14 @@ def fit_lexicon(
     sample = materialize(source.join(F.broadcast(chosen), "id").select("y", "text"), "toxic-sample")
     lo, hi = starts
 
-    def count(batches):
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    def toxic_only(batches):
+        seen: Counter = Counter()
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                own = set(fold(text).split())
-                seen[int(y > 0)].update({w[:k] for w in own for k in range(lo, min(hi, len(w)) + 1)})
-        terms = [t for t in seen[1]]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "toxic": pa.array([seen[1][t] for t in terms], pa.int64()), "clean": pa.array([seen[0][t] for t in terms], pa.int64())})
+                if y > 0:
+                    own = set(fold(text).split())
+                    seen.update({w[:k] for w in own for k in range(lo, min(hi, len(w)) + 1)})
+        yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "toxic": pa.array(list(seen.values()), pa.int64())})
 
     def clean_only(batches, wanted):
         seen: Counter = Counter()
@@ -161,7 +161,7 @@ def fit_lexicon(
         return Lexicon(seed)
     # a start in few toxic documents goes before anything is collected
     frequent = (
-        map_batches(sample.select("y", "text"), count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"))
+        map_batches(sample.select("y", "text"), toxic_only, "term string, toxic bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"))
         .where(F.col("toxic") >= least_docs).orderBy(F.desc("toxic"), "term").limit(100 * max_terms)
     )
     toxic = {r["term"]: r["toxic"] for r in frequent.collect()}
