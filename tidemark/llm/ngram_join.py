@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, materialize
+from .common import components, map_batches, materialize, small_side
 from .textvec import U64, mix, shingle_hashes, slices, word_hashes
 
 
@@ -211,8 +211,9 @@ def similar_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Ids are integers. Rows with a null id are left out; of rows with one id the first text in order counts. A null or empty text has no
     shingle and links with nothing, a text of fewer than ``n`` words is one shingle. Only the two named columns are read.
 
-    Texts of equal sets are one node throughout, so copies cost one row each. Nodes that share a part key (``part_keys``) are candidates;
-    they are joined by stars, and the components of these stars are the groups in which every link lies. A group is cut by size
+    Texts of equal sets are one node throughout, so copies cost one row each. Nodes that share a part key (``part_keys``) are candidates:
+    all that share it form a star around the one with the smallest set hash, and the stars of one centre are a group. So every link lies
+    within a group, and unlike texts that share a passage are not strung together into ever larger ones. A group is cut by size
     into tiles of bounded content. Links are found within each tile; then, where tiles of a group are not yet connected and sizes let
     texts of two tiles link, within each such pair of tiles, texts already connected not being compared again.
     """
@@ -232,25 +233,24 @@ def similar_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     star = (
         parts.repartition(n, "part").withColumn("centre", F.min("a").over(Window.partitionBy("part"))).where("a != centre").select("a", F.col("centre").alias("b")).distinct()
     )
-    groups = components(star).select(F.col("node").alias("a"), F.col("component").alias("gang"))
-    members = nodes.join(groups, "a").select("node", "gang")
+    star = materialize(star, "stars")
+    gangs = star.select("a", F.col("b").alias("gang")).unionByName(star.select(F.col("b").alias("a"), F.col("b").alias("gang")).distinct())
+    members = gangs.join(nodes.select("a", "node"), "a").select("node", "gang")
 
-    sizes = keys.select("id", "n_shingles")
+    sizes = keys.select(F.col("id").alias("node"), "n_shingles")
     running = Window.partitionBy("gang").orderBy("n_shingles", "node").rowsBetween(Window.unboundedPreceding, -1)
-    tiled = members.join(sizes, members["node"] == sizes["id"]).select(
+    tiled = members.join(sizes, "node").select(
         "node", "gang", "n_shingles", F.floor(F.coalesce(F.sum(F.col("n_shingles") + rules.fixed).over(running), F.lit(0)) / rules.tile).cast("bigint").alias("tile")
     )
     tiled = materialize(tiled, "tiles")
-    texts = tiled.join(source, tiled["node"] == source["id"]).select("gang", "tile", "node", "text")
-    texts = materialize(texts, "tile-texts")
-    none = F.lit(-1).cast("bigint")
-    links = materialize(_tile_links(texts.select(F.col("gang").alias("tile_a"), F.col("tile").alias("tile_b"), F.lit(0).alias("tile_c"), F.col("node").alias("id"), none.alias("comp"), "text"), rules), "links")
+    rows = tiled.select(F.col("gang").alias("tile_a"), F.col("tile").alias("tile_b"), F.lit(0).alias("tile_c"), "node", F.lit(-1).cast("bigint").alias("comp"))
+    links = materialize(_tile_links(_with_texts(rows, source), rules), "links")
 
     wide = tiled.groupBy("gang").agg(F.max("tile").alias("last")).where("last > 0").select("gang")
     if not wide.isEmpty():
         # one text of each connected part of each tile stands for it: most parts of a group of near copies meet here
-        links = _meet(links, tiled, texts, wide, rules, heads=True)
-        links = _meet(links, tiled, texts, wide, rules, heads=False)
+        links = _meet(links, tiled, source, wide, rules, heads=True)
+        links = _meet(links, tiled, source, wide, rules, heads=False)
 
     joined = components(links).select("node", F.col("component"))
     of_node = nodes.join(joined, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component_id"))
@@ -259,17 +259,23 @@ def similar_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _meet(links: DataFrame, tiled: DataFrame, texts: DataFrame, wide: DataFrame, rules: JoinRules, *, heads: bool) -> DataFrame:
+def _with_texts(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows of tiles with their texts."""
+    named = small_side(materialize(rows, "tile-rows"))
+    return source.join(named, source["id"] == named["node"]).select("tile_a", "tile_b", "tile_c", "id", "comp", "text")
+
+
+def _meet(links: DataFrame, tiled: DataFrame, source: DataFrame, wide: DataFrame, rules: JoinRules, *, heads: bool) -> DataFrame:
     """``links`` and those found across tiles of groups of several tiles: between heads of their connected parts, or between all texts."""
     mine = tiled.join(wide, "gang", "left_semi")
-    joined = components(links)
-    comp = mine.join(joined, mine["node"] == joined["node"], "left").select(mine["node"], "gang", "tile", "n_shingles", F.coalesce("component", mine["node"]).alias("comp"))
+    joined = components(links).select("node", "component")
+    comp = mine.join(joined, "node", "left").select("node", "gang", "tile", "n_shingles", F.coalesce("component", "node").alias("comp"))
     comp = materialize(comp, "tile-parts")
     if heads:
         head = comp.groupBy("gang", "tile", "comp").agg(F.min(F.struct("n_shingles", "node")).alias("h")).select("gang", "comp", "h.n_shingles", "h.node")
         running = Window.partitionBy("gang").orderBy("n_shingles", "node").rowsBetween(Window.unboundedPreceding, -1)
         head = head.withColumn("tile", F.floor(F.coalesce(F.sum(F.col("n_shingles") + rules.fixed).over(running), F.lit(0)) / rules.tile).cast("bigint"))
-        rows = head.join(texts.select("node", "text"), "node").select(F.col("gang").alias("tile_a"), F.col("tile").alias("tile_b"), F.lit(0).alias("tile_c"), F.col("node").alias("id"), "comp", "text")
+        rows = head.select(F.col("gang").alias("tile_a"), F.col("tile").alias("tile_b"), F.lit(0).alias("tile_c"), "node", "comp")
     else:
         tile = comp.groupBy("gang", "tile").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.min("comp").alias("first"), F.max("comp").alias("last"))
         left, right = tile.alias("x"), tile.alias("y")
@@ -278,9 +284,8 @@ def _meet(links: DataFrame, tiled: DataFrame, texts: DataFrame, wide: DataFrame,
         pairs = left.join(right, (F.col("x.gang") == F.col("y.gang")) & (F.col("x.tile") < F.col("y.tile")) & apart & close)
         pairs = pairs.select(F.col("x.gang").alias("gang"), F.col("x.tile").alias("tile_b"), F.col("y.tile").alias("tile_c"))
         member = pairs.select("gang", "tile_b", "tile_c", F.explode(F.array("tile_b", "tile_c")).alias("tile"))
-        rows = member.join(comp, ["gang", "tile"]).join(texts.select("node", "text"), "node")
-        rows = rows.select(F.col("gang").alias("tile_a"), "tile_b", "tile_c", F.col("node").alias("id"), "comp", "text")
-    return materialize(links.unionByName(_tile_links(rows, rules)), "links")
+        rows = member.join(comp, ["gang", "tile"]).select(F.col("gang").alias("tile_a"), "tile_b", "tile_c", "node", "comp")
+    return materialize(links.unionByName(_tile_links(_with_texts(rows, source), rules)), "links")
 
 
 def keep_one(docs: DataFrame, *, rules: JoinRules = JoinRules(n=5, percent=80)) -> DataFrame:
