@@ -150,3 +150,12 @@ def test_shingle_sets_equal_plain_sets(small):
         hashes, rows = word_hashes(cut)
         values, bounds = shingle_hashes(hashes, rows, 4, len(cut))
         assert [len(np.unique(values[a:b])) for a, b in zip(bounds[:-1], bounds[1:])] == [len(shingles(t, 4)) for t in cut.to_pylist()]
+
+
+def test_materialized_tables_can_be_discarded(spark):
+    common.discard(spark)
+    df = common.materialize(spark.range(5), "five")
+    files = df.inputFiles()
+    assert df.count() == 5 and common.discard(spark) == 1 and common.discard(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT|PATH"):
+        spark.read.parquet(files[0]).count()

@@ -27,10 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The files stay, as later results may read them, until :func:`discard`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -80,6 +87,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete all tables that this process has materialized; results not yet written that read them are lost. Returns their number."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 #: A join side of at most so many rows of a few numbers is broadcast (some 20 MB); a larger one is shuffled.
 BROADCAST_ROWS = 400_000
 
