@@ -24,7 +24,8 @@ from .textvec import U64, mix, shingle_hashes, slices, word_hashes
 
 @dataclass(frozen=True)
 class JoinRules:
-    """Sets of ``n``-word shingles link when ``100 * shared >= percent * union``. ``tile`` bounds the shingles of a tile, each text counting as ``fixed`` more."""
+    """Sets of ``n``-word shingles link when ``100 * shared >= percent * union``. ``tile`` bounds the shingles of a tile, each text counting as ``fixed`` more;
+    groups of up to ``sieve`` shingles (a quarter of a byte each) are sifted by bitmaps before any text is read for them."""
 
     n: int = 4
     percent: int = 85
@@ -32,6 +33,7 @@ class JoinRules:
     bitmap_words: int = 32
     tile: int = 400_000
     fixed: int = 64
+    sieve: int = 40_000_000
 
     def linked(self, shared, a, b):
         return 100 * shared >= self.percent * (a + b - shared)
@@ -89,17 +91,27 @@ def _sets(column: pa.Array, rules: JoinRules) -> list[np.ndarray]:
     return [np.unique(shingles[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-_KEYS = "id bigint, n_shingles bigint, a bigint, b bigint, parts array<bigint>"
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bitmap of about two bits a shingle, a power of two in all: each shingle sets the bit its hash names. Halves of it, or-ed, make the next smaller."""
+    bits = 64
+    while bits < 2 * len(shingles):
+        bits *= 2
+    marks = np.zeros(bits, bool)
+    marks[(shingles >> U64(20)).astype(np.int64) % bits] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+_KEYS = "id bigint, n_shingles bigint, a bigint, b bigint, parts array<bigint>, bitmap binary"
 
 
 def _set_keys(source: DataFrame, rules: JoinRules) -> DataFrame:
-    """``(id, n_shingles, a, b, parts)``: two hashes of the whole set, and its part keys the first time a task meets the set."""
+    """``(id, n_shingles, a, b, parts, bitmap)``: two hashes of the whole set, and its part keys and bitmap the first time a task meets the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, 1):
-                a, b, n, keys = [], [], [], []
+                a, b, n, keys, maps = [], [], [], [], []
                 for s in _sets(part.column(1), rules):
                     x, y = (int((mix(s + U64(k)).sum() if len(s) else U64(0)).astype(np.int64)) for k in (1, 2))
                     a.append(x)
@@ -108,10 +120,11 @@ def _set_keys(source: DataFrame, rules: JoinRules) -> DataFrame:
                     new = len(s) > 0 and (x, y) not in met
                     met.add((x, y))
                     keys.append(part_keys(s, rules).astype(np.int64) if new else None)
+                    maps.append(bitmap(s) if new else None)
                 lengths = np.concatenate([[0], np.cumsum([0 if k is None else len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)])
                 lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], names=["id", "n_shingles", "a", "b", "parts"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(maps, pa.binary())], names=["id", "n_shingles", "a", "b", "parts", "bitmap"])
 
     return map_batches(source, run, _KEYS)
 
@@ -130,8 +143,11 @@ class Tile:
         maps = np.zeros((len(ids), bits), dtype=bool)
         for row, s in zip(maps, self.sets):
             row[(s >> U64(20)).astype(np.int64) % bits] = True
-        self.bitmaps = np.packbits(maps, axis=1).view(U64)
-        self.set_bits = np.bitwise_count(self.bitmaps).sum(axis=1)
+        self._mark(np.packbits(maps, axis=1).view(U64))
+
+    def _mark(self, bitmaps: np.ndarray) -> None:
+        self.bitmaps = bitmaps
+        self.set_bits = np.bitwise_count(bitmaps).sum(axis=1)
 
     def candidates(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of ``others`` that sizes and bitmaps let link with text ``i``.
@@ -175,6 +191,54 @@ class Tile:
         return found
 
 
+class Sieve(Tile):
+    """Texts of a group by their bitmaps alone: what cannot link with any other is told without reading it."""
+
+    def __init__(self, ids: list[int], sizes: list[int], maps: list[bytes], rules: JoinRules):
+        order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
+        self.rules, self.ids = rules, [ids[i] for i in order]
+        self.size = np.array([sizes[i] for i in order])
+        self.group = np.full(len(ids), -1)
+        least = min(map(len, maps))
+        folded = np.zeros((len(ids), least), np.uint8)
+        for row, i in zip(folded, order):
+            row[:] = np.bitwise_or.reduce(np.frombuffer(maps[i], np.uint8).reshape(-1, least), axis=0)
+        self._mark(folded.view(U64))
+
+    def linked(self, i: int, j: int) -> bool:
+        return True  # as far as bitmaps tell
+
+    def parts(self) -> list[tuple[int, int]]:
+        """``(id, part)`` of the texts that could link with others; texts that link lie in one part, named by its first text."""
+        part: dict[int, int] = {}
+        for a, b in self.links():
+            part[b] = part.setdefault(a, a)
+        return list(part.items())
+
+
+def _sieved(rows: DataFrame, rules: JoinRules) -> DataFrame:
+    """``(node, gang, part)`` of ``rows (gang, node, n_shingles, bitmap)`` that could link within their group, which is brought together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (found := Sieve(*zip(*held), rules).parts()):
+                nodes, parts = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([key] * len(nodes), pa.int64()), pa.array(parts, pa.int64())], names=["node", "gang", "part"])
+
+        key, held = None, []
+        for batch in batches:
+            for gang, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if gang != key:
+                    yield from out()
+                    key, held = gang, []
+                held.append(row)
+        yield from out()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("gang", "node", "n_shingles", "bitmap").repartition(n, "gang").sortWithinPartitions("gang")
+    return map_batches(dealt, run, "node bigint, gang bigint, part bigint")
+
+
 def _tile_links(rows: DataFrame, rules: JoinRules) -> DataFrame:
     """``(a, b)`` links within each tile of ``rows (tile_a, tile_b, tile_c, id, comp, text)``, which are brought together and sorted by tile."""
 
@@ -213,7 +277,7 @@ def similar_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts of equal sets are one node throughout, so copies cost one row each. Nodes that share a part key (``part_keys``) are candidates:
     all that share it form a star around the one with the smallest set hash, and the stars of one centre are a group. So every link lies
-    within a group, and unlike texts that share a passage are not strung together into ever larger ones. A group is cut by size
+    within a group, and bitmaps tell most texts of a group that link with none of it before they are read; and unlike texts that share a passage are not strung together into ever larger ones. A group is cut by size
     into tiles of bounded content. Links are found within each tile; then, where tiles of a group are not yet connected and sizes let
     texts of two tiles link, within each such pair of tiles, texts already connected not being compared again.
     """
@@ -235,7 +299,13 @@ def similar_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     star = materialize(star, "stars")
     gangs = star.select("a", F.col("b").alias("gang")).unionByName(star.select(F.col("b").alias("a"), F.col("b").alias("gang")).distinct())
-    members = gangs.join(nodes.select("a", "node"), "a").select("node", "gang")
+    maps = keys.where("bitmap is not null").groupBy("a", "b").agg(F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"))
+    members = gangs.join(nodes.join(maps, ["a", "b"]).select("a", "node", "n_shingles", "bitmap"), "a").select("node", "gang", "n_shingles", "bitmap")
+    members = materialize(members, "members")
+    load = members.groupBy("gang").agg(F.sum(F.col("n_shingles") + rules.fixed).alias("load"))
+    large = load.where(F.col("load") > rules.sieve).select("gang")
+    sifted = _sieved(members.join(large, "gang", "left_anti"), rules).select("node", F.xxhash64("gang", "part").alias("gang"))
+    members = sifted.unionByName(members.join(large, "gang", "left_semi").select("node", "gang"))
 
     sizes = keys.select(F.col("id").alias("node"), "n_shingles")
     running = Window.partitionBy("gang").orderBy("n_shingles", "node").rowsBetween(Window.unboundedPreceding, -1)
