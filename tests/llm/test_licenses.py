@@ -1,3 +1,4 @@
+import dataclasses
 import re
 
 from tidemark.llm import license_rules, licenses
@@ -61,3 +62,64 @@ def test_report_equals_brute_force(small):
         x = got[r.doc_id]
         assert (x.n_words, x.n_base, x.base_labels) == (len(words), len(places), ",".join(sorted({label for _, label in places})))
         assert x.labels == ",".join(sorted({label for _, label in places} | {s[3] for s in brute(r.text)})) and 0 <= x.score <= 1
+
+
+def _must_hold(nodes, keyword):
+    """Whether every match of a parsed expression holds ``keyword``."""
+    run = ""
+    for op, arg in nodes:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg)
+            if keyword in run:
+                return True
+            continue
+        run = ""
+        if name == "SUBPATTERN" and _must_hold(arg[3], keyword):
+            return True
+        if name == "BRANCH" and all(_must_hold(branch, keyword) for branch in arg[1]):
+            return True
+        if name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1 and _must_hold(arg[2], keyword):
+            return True
+    return False
+
+
+def test_no_match_lacks_its_keyword():
+    table = license_rules.rules()
+    gates = {}
+    for r in table:
+        gates.setdefault((r.label, r.pattern), []).append(r.keyword)
+    short = {("cc by", "cc-by")}  # the two spellings of one pattern, each a rule
+    lacking = [k for k, words in gates.items() if tuple(words) not in short and not all(_must_hold(re._parser.parse(k[1]), w) for w in words)]
+    assert lacking == []
+    assert all(k[1].startswith(r"\bcc[- ]by") for k, words in gates.items() if tuple(words) in short)
+
+
+BROKEN = {
+    "permission is hereby\ngranted, free of charge, to any person obtaining a copy of this software": "mit-text",
+    "the GNU General\n# Public License, version 3, or any later": "gpl-3.0-or-later",
+    "this program is free\nsoftware; you can redistribute it and/or modify": "gpl-text",
+    "is in the public\ndomain": "public-domain",
+    "Creative\n * Commons Attribution 4.0": "cc-by-4.0",
+    "an end-user license agreement": "eula",
+    "all  rights\treserved": "all-rights-reserved",
+    "a noncommercial licence": "ncl",
+    "the simplified license": "bsd-2-clause",
+    "Licence Ouverte": "etalab-2.0",
+    "shall be used for good, not evil": "json",
+    "unauthorised copying of this file is prohibited": "proprietary",
+    "in no event shall the authors\nor holders be liable": "liability-disclaimer",
+    "neither the name of the\ncompany nor the names of its contributors": "bsd-3-clause-text",
+}
+
+
+def test_line_breaks_and_comment_marks(spark, monkeypatch):
+    """Detections equal those of the patterns alone, without keywords, however a text parts its words."""
+    table = license_rules.rules()
+    monkeypatch.setattr(license_rules, "rules", lambda: [dataclasses.replace(r, keyword="") for r in table])
+    every = [*BROKEN, *TEXTS]
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {r.doc_id: [(d.start, d.end, d.label) for d in r.detections] for r in licenses.scan_licenses(df, table=table).collect()}
+    for i, text in enumerate(every):
+        assert got[i] == [(a, b, label) for a, b, _, label in brute(text)], text
+        assert BROKEN.get(text) in {*(x[2] for x in got[i]), None}, text
