@@ -26,6 +26,14 @@ def test_tokenizer_equals_the_file(full, small):
         assert fast.encode(t).tolist() == full.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_special_token_has_its_own_id(spark, full):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>é😀<|endoftext|>", "<|endoftext|", "x<|endoftext|>\ny" * 40]
+    for t in texts:
+        assert packing.bpe_tokenizer().encode(t).tolist() == full.encode(t, add_special_tokens=False).ids, t
+    (row,) = packing.pack_documents(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).collect()
+    assert list(row.ids) == [64, 220, 50256, 275, 0]
+
+
 def test_limits_hold_together():
     rnd = random.Random(3)
     limits = Limits(tokens=100, segments=4, loss=40)
