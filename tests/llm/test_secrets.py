@@ -69,6 +69,17 @@ def test_added_spans_and_allow_list():
     assert kinds(f'token = "{SHA}"') == ["assign", "hex"]  # nothing is added within what is found by name
 
 
+def test_allowed_part_lets_go_no_more_than_itself():
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzq9Lw2Hs5TdV"
+    found = lambda t: [t[s:e] for k, s, e, _ in secrets.SecretScanner().scan(t) if k == "base64_entropy"]
+    for joined in (f"example-config/{key}", f"{key}/placeholder", f"my_changeme_{key}", f"{key}-----{key[::-1]}", f"0123456789/{key}"):
+        assert any(key in x for x in found(f"x {joined} y")), joined
+    blob = "/".join(key[i:] + key[:i] for i in range(40))
+    assert sum(map(len, found(f"{blob}/example/{blob}"))) >= 2 * len(blob)
+    for harmless in (f"EXAMPLE{key[:29]}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "example-550e8400-e29b-41d4-a716-446655440000", "-" * 60):
+        assert found(f"x {harmless} y") == [], harmless
+
+
 def test_report(spark, small):
     rows = {r.doc_id: r for r in secrets.secrets_report(small).collect()}
     for r in small.collect():

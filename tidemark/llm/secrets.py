@@ -27,7 +27,8 @@ _RUN = {
     "base64_entropy": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}",
 }
 
-#: Strings that look random and are not secrets. A candidate that one of these matches as a whole, or ``_ALLOW_PART`` in part, is let go.
+#: Strings that look random and are not secrets. A candidate that one of these matches as a whole is let go; ``_ALLOW_PART`` lets go
+#: what a candidate has between two separators around its match, not the rest.
 _ALLOW_WHOLE = re.compile(
     r"""(?:[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"""  # UUID
     r"""|[A-Za-z]+|[0-9]+"""  # words and numbers
@@ -35,6 +36,8 @@ _ALLOW_WHOLE = re.compile(
     r"""|[0-9]+(?:[-_/][0-9]+)+)"""  # dates, ranges
 )
 _ALLOW_PART = re.compile(r"(?i:example|placeholder|changeme|xxxxxx|0123456789|abcdefghij|[^a-z0-9]{5})")
+_PARTS = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]{5,}")
+_SEPARATORS = "+/_=-"
 
 
 @dataclass(frozen=True)
@@ -77,6 +80,19 @@ def entropy_spans(run: str, window: int, least_bits: float) -> list[tuple[int, i
     return spans
 
 
+def stretches(run: str) -> list[tuple[int, str]]:
+    """Places and texts of ``run`` cut at its parts between separators that ``_ALLOW_PART`` matches; each such part is a text by itself."""
+    if not _ALLOW_PART.search(run):
+        return [(0, run)]
+    out, at = [], 0
+    for m in _PARTS.finditer(run):
+        if _ALLOW_PART.search(m[0]):
+            out += [(at, run[at : m.start()]), (m.start(), m[0])]
+            at = m.end()
+    out.append((at, run[at:]))
+    return [(i, s) for i, s in out if s and not _ALLOW_WHOLE.fullmatch(s.strip(_SEPARATORS))]
+
+
 def _mixed(text: str) -> bool:
     """Whether at least two of lower case, upper case and digits occur, digits among them or both cases thrice."""
     lower, upper, digits = (sum(map(f, text)) for f in (str.islower, str.isupper, str.isdigit))
@@ -108,12 +124,13 @@ class SecretScanner:
         for kind in KINDS[3:]:
             for m in self.runs[kind].finditer(text):
                 run = m[0]
-                if _ALLOW_WHOLE.fullmatch(run) or _ALLOW_PART.search(run):
+                if _ALLOW_WHOLE.fullmatch(run):
                     continue
-                for start, end, most in entropy_spans(run, self.rules.window, bits[kind]):
-                    at, to = m.start() + start, m.start() + end
-                    if _mixed(run[start:end]) and not any(s <= at and to <= e for _, s, e, _ in base + found):
-                        found.append((kind, at, to, round(most, 4)))
+                for place, part in stretches(run):
+                    for start, end, most in entropy_spans(part, self.rules.window, bits[kind]):
+                        at, to, secret = m.start() + place + start, m.start() + place + end, part[start:end]
+                        if _mixed(secret) and not _ALLOW_PART.search(secret) and not any(s <= at and to <= e for _, s, e, _ in base + found):
+                            found.append((kind, at, to, round(most, 4)))
         return found
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
