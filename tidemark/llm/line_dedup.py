@@ -28,7 +28,7 @@ class SpreadRules:
 
 
 def line_key(line):
-    """Two hashes of a line with outer white space trimmed: lines are equal when both agree."""
+    """Two hashes of a line with outer blanks trimmed, not tabs or CR: lines are equal when both agree."""
     return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(17), line).alias("g"))
 
 
