@@ -2,62 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
-
-TOKENIZER = "byte_bpe_50k"
-
-# The vocabulary's split pattern; the characters outside common alphabets.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ȳΑ-ΡΣ-ώА-я‐-‧€]")
-
-
-class BpeTokenizer:
-    """Token ids of whole texts by a byte-level BPE vocabulary file.
-
-    Texts in common alphabets go through the vocabulary's rank table, which gives the same ids in a fifth of the time; a text with
-    any other character, whose class may differ between Unicode versions, goes through the tokenizer file, and so does one that holds
-    a token of the file's own, like ``<|endoftext|>``, which has an id of its own.
-    """
-
-    def __init__(self, name: str = TOKENIZER):
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.own = re.compile("|".join(re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()) or "(?!)")
-        ranks = {}
-        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
-            for line in lines:
-                token, rank = line.split()
-                ranks[base64.b64decode(token)] = int(rank)
-        self.ranked = tiktoken.Encoding(name, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def encode(self, text: str) -> np.ndarray:
-        full = _OTHER.search(text) or self.own.search(text)
-        ids = self.full.encode(text, add_special_tokens=False).ids if full else self.ranked(text)
-        return np.array(ids, dtype=np.uint32)
-
-
-@lru_cache(maxsize=2)
-def bpe_tokenizer(name: str = TOKENIZER) -> BpeTokenizer:
-    """One tokenizer for each Python worker, from task to task."""
-    return BpeTokenizer(name)
-
+from .common import map_batches, materialize
+from .textvec import slices
+from .tokens import TOKENIZER, bpe_tokenizer
 
 @dataclass(frozen=True)
 class Limits:
@@ -67,6 +24,10 @@ class Limits:
     segments: int = 64
     loss: int = 1024
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError("each limit is 1 or more")
+
 
 @dataclass
 class Item:
@@ -111,6 +72,8 @@ def pack(items: list[Item], limits: Limits, *, least_cut: int = 8) -> list[list[
     item left is cut to fill the gap. Items with the same demand are interchangeable, so only distinct demands are weighed.
     """
     cap = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.float64)
+    if any(n > most for it in items for n, most in zip(it.size, cap)):
+        raise ValueError("an item exceeds an empty bin: split_item makes pieces that fit")
     groups: dict[tuple[int, int, int], list[Item]] = {}
     for it in reversed(items):
         groups.setdefault(it.size, []).append(it)
@@ -198,13 +161,13 @@ def pack_documents(
         encode = bpe_tokenizer(tokenizer).encode
         held = []
         for batch in batches:
-            for at in range(batch.num_rows):
-                key, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py() or ""
-                ids = np.append(encode(text), np.uint32(end_id))
-                held += split_item(Item((key, len(ids)), 0, ids), limits)
-                if len(held) >= batch_pieces:
-                    yield held
-                    held = []
+            for part in slices(batch, 1, rows=2048):
+                for key, got in zip(part.column(0).to_pylist(), encode(part.column(1))):
+                    ids = np.append(got, np.uint32(end_id))
+                    held += split_item(Item((key, len(ids)), 0, ids), limits)
+                    if len(held) >= batch_pieces:
+                        yield held
+                        held = []
         yield held
 
     return _packed(source, items, kind, limits, with_ids).withColumnRenamed("id", id_col).withColumnRenamed("example_tokens", "doc_tokens")
@@ -257,28 +220,57 @@ def pack_conversations(
 ) -> DataFrame:
     """Pack instruction data: a conversation's turns in order are one example, and tokens of ``loss_roles`` bear loss.
 
-    As :func:`pack_documents`; ``loss`` tells each token's part. A conversation is gathered from its turns, which must be bounded
-    by what one example holds in training; a null role bears no loss, a null text is empty, equal turns keep any fixed order.
+    As :func:`pack_documents`; ``loss`` tells each token's part. A null role bears no loss, a null text is empty, rows with a null
+    conversation are one, equal turns are ordered by role and text, repeated rows are repeated turns; other columns are not read.
+    No conversation is gathered: rows are dealt out and sorted by ranges of conversation and turn, so one that holds a third of all
+    rows fills many ranges, at whose ends it is cut; where its tokens start in each range comes of one sum for a range.
     """
     kind = dict(df.select(id_col).dtypes)[id_col]
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    source = df.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    source = df.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
+    order = [F.col("id"), F.col("turn"), F.col("role"), F.xxhash64("text")]
+    dealt = source.repartitionByRange(*order).sortWithinPartitions(*order).select("id", F.col("role").isin(*loss_roles).alias("bears"), "text")
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part, at = bpe_tokenizer(tokenizer).encode, TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for cut in slices(batch, 2):
+                ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encode(cut.column(2))]
+                columns = [pa.array([part] * len(ids), pa.int32()), pa.array(range(at, at + len(ids)), pa.int64()), cut.column(0), cut.column(1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["part", "at", "id", "bears", "n", "ids"])
+                at += len(ids)
+
+    turns = materialize(map_batches(dealt, tokenise, f"part int, at bigint, id {kind}, bears boolean, n bigint, ids binary"), "turns")
+    own = Window.partitionBy("own")
+    sums = turns.groupBy(F.col("id").alias("own"), F.col("part").alias("own_part")).agg(F.sum("n").alias("n_part")).select(
+        "own", "own_part", F.sum("n_part").over(own).alias("total"), (F.sum("n_part").over(own.orderBy("own_part")) - F.col("n_part")).alias("before")
+    )
+    placed = turns.join(sums, F.col("id").eqNullSafe(F.col("own")) & (F.col("part") == F.col("own_part")))
+    placed = placed.select("part", "at", "id", "bears", "ids", "before", "total").repartition("part").sortWithinPartitions("part", "at")
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Item]]:
-        encode = bpe_tokenizer(tokenizer).encode
-        held = []
+        held: list[Item] = []
+        now: Item | None = None
+        whose = None
         for batch in batches:
-            for at in range(batch.num_rows):
-                parts, marks = [], []
-                for t in batch.column(1)[at].as_py():
-                    ids = np.append(encode(t["text"]), np.uint32(end_id))
-                    parts.append(ids)
-                    marks.append(np.full(len(ids), t["role"] in loss_roles))
-                ids, loss = np.concatenate(parts), np.concatenate(marks)
-                held += split_item(Item((batch.column(0)[at].as_py(), len(ids)), 0, ids, loss), limits)
+            for part, _, key, bears, data, before, total in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(data, "<u4").astype(np.uint32)
+                loss = np.full(len(ids), bears)
+                if now is not None and whose == (part, key):
+                    now = Item(now.owner, now.start, np.concatenate([now.ids, ids]), np.concatenate([now.loss, loss]))
+                else:
+                    held += [now] if now is not None else []
+                    whose, now = (part, key), Item((key, total), before, ids, loss)
+                *whole, now = split_item(now, limits)  # the last piece may still grow
+                held += whole
                 if len(held) >= 4096:
                     yield held
                     held = []
-        yield held
+        yield held + ([now] if now is not None else [])
+
+    return _packed(placed, items, kind, limits, True).withColumnRenamed("id", id_col)
+
 
-    return _packed(source, items, kind, limits, True).withColumnRenamed("id", id_col)
+def conversations_report(conversations: DataFrame) -> DataFrame:
+    """Pieces of packed ``conversations``, each with its number of loss-bearing tokens, without the token ids."""
+    packed = pack_conversations(conversations)
+    return packed.withColumn("n_loss", F.size(F.filter("loss", lambda x: x)).cast("long")).drop("ids", "loss")

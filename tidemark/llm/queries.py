@@ -53,8 +53,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op10_packing on instruction data, where all three limits bind."""
+    return packing.conversations_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {"instruction_packing": instruction_packing}
 
 
 def oracle_sql() -> dict[str, str]:
