@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from math import log2
 
@@ -99,6 +100,20 @@ def _mixed(text: str) -> bool:
     return digits >= 2 and lower + upper >= 2 or lower >= 3 and upper >= 3
 
 
+class Cover:
+    """Spans, asked whether one of them holds another span: the furthest end among those that start before it tells."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            self.starts.append(start)
+            self.ends.append(max(end, self.ends[-1]) if self.ends else end)
+
+    def holds(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.ends[i - 1] >= end
+
+
 class SecretScanner:
     """Finds the spans of one text: ``(kind, start, end, bits)`` by start, then kind; code points, end exclusive."""
 
@@ -122,6 +137,7 @@ class SecretScanner:
         found = []
         bits = {"hex_entropy": self.rules.hex_bits, "base64_entropy": self.rules.base64_bits}
         for kind in KINDS[3:]:
+            covered = Cover([(s, e) for _, s, e, _ in base + found])  # spans of one kind never lie within each other
             for m in self.runs[kind].finditer(text):
                 run = m[0]
                 if _ALLOW_WHOLE.fullmatch(run):
@@ -129,7 +145,7 @@ class SecretScanner:
                 for place, part in stretches(run):
                     for start, end, most in entropy_spans(part, self.rules.window, bits[kind]):
                         at, to, secret = m.start() + place + start, m.start() + place + end, part[start:end]
-                        if _mixed(secret) and not _ALLOW_PART.search(secret) and not any(s <= at and to <= e for _, s, e, _ in base + found):
+                        if _mixed(secret) and not _ALLOW_PART.search(secret) and not covered.holds(at, to):
                             found.append((kind, at, to, round(most, 4)))
         return found
 
@@ -168,7 +184,7 @@ def _digest(spans, only: tuple[str, ...] | None = None):
 
 
 def secrets_report(df: DataFrame) -> DataFrame:
-    """Counts and digests of the spans of ``documents``."""
+    """Counts and digests of the spans of ``documents``: a row for each row, whatever its id; null and empty texts have none (empty digests)."""
     found = scan_secrets(df)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
