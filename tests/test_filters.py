@@ -73,3 +73,34 @@ def test_empty_and_damaged_blocks(spark):
     assert bytes(filters.serialize_filters(filters.block_filters(none)).first().block) == b"\x00\x00\x00\x00\x0b"
     for name in "fgh":
         assert empty.select(filters.block_may_match(F.lit(0).cast("long"), F.lit(bytearray(b"foo")), F.col(name))).first()[0] is True
+
+
+def may(spark, block, offset, key=b"foo", match=exact):
+    parsed = filters.parse_filters(F.lit(bytearray(block)))
+    return spark.range(1).select(filters.block_may_match(F.lit(offset).cast("long"), F.lit(bytearray(key)), parsed, match)).first()[0]
+
+
+def test_stored_span_and_damaged_limits(spark):
+    """A block is read by the span it names; a filter that would reach past the offsets' place hides nothing."""
+    foo = le32(hashing.hash32_many([b"foo"], 1)[0])
+    box = le32(hashing.hash32_many([b"box"], 1)[0])
+
+    def block(offsets, data=foo + box, bits=11, end=None):
+        return data + b"".join(map(le32, offsets)) + le32(len(data) if end is None else end) + bytes([bits])
+
+    for bits in (4, 11, 20):
+        sound = block([0, 4], bits=bits)
+        assert may(spark, sound, 0) and not may(spark, sound, 1 << bits) and may(spark, sound, (1 << bits) - 1) and not may(spark, sound, 2 * (1 << bits) - 1, b"foo")
+        assert may(spark, sound, 1 << bits, b"box") and may(spark, sound, 2 << bits)
+    assert not may(spark, block([0, 4]), 0, b"box")
+    assert may(spark, block([0, 2000]), 0, b"box")  # the first filter's limit lies beyond the data
+    assert may(spark, block([8, 4]), 0, b"box") and not may(spark, block([4, 4]), 0, b"foo")
+    assert may(spark, block([0xFFFFFFF0, 4]), 0) and may(spark, block([0, 4], end=4000), 0) and may(spark, block([0, 4], bits=200), 1 << 40, b"foo")
+
+
+def test_filter_rows(spark):
+    rows = spark.createDataFrame([(i * 700, bytearray(le32(i))) for i in range(40)], "block_offset long, key binary")
+    built = filters.block_filters(rows)
+    back = filters.filter_rows(filters.serialize_filters(built))
+    assert {r.filter_index: bytes(r.filter) for r in back.collect()} == {r.filter_index: bytes(r.filter) for r in built.collect()}
+    assert filters.pruned_lookup(rows, back.select("filter_index", "filter"), rows).count() == 40

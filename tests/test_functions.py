@@ -1,5 +1,7 @@
 """Golden values of the byte functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ def lit(data: bytes):
     return F.lit(bytearray(data))
 
 
+# Vectors of the hash and of CRC-32C.
 HASHES = [(b"", 0xBC9F1D34), (b"\x62", 0xEF1345C4), (b"\xc3\x97", 0x5B663814), (b"\xe2\x99\xa5", 0x323C078F), (b"\xe1\x80\xb9\x32", 0xED21633A)]
 
 
@@ -42,6 +45,33 @@ def test_crc_vectors(spark, data, expected):
     assert hashing.crc_unmask_value(row[1]) == expected
 
 
+def test_crc_in_lanes():
+    rnd = random.Random(5)
+    for n in (1023, 1024, 1025, 1087, 1088, 2048, 4100, 32_761, 70_001):
+        data = rnd.randbytes(n)
+        crc = 0xFFFFFFFF
+        for x in data:
+            crc = int(hashing.crc_table()[(crc ^ x) & 255]) ^ (crc >> 8)
+        assert hashing.crc32c_bytes(data) == crc ^ 0xFFFFFFFF == hashing.crc32c_bytes(data[700:], hashing.crc32c_bytes(data[:700]))
+
+
+def test_draws(spark):
+    """Draws by number equal draws one after another."""
+    from tidemark.functions import draws
+
+    for seed in (301, 0, 2**31 - 1, 2**31 + 5, 1000):
+        state, want = draws.first_state(seed), []
+        for _ in range(60):
+            state = state * 16807 % (2**31 - 1)
+            want.append(state)
+        i = F.col("id") + 1
+        rows = spark.range(30).select("id", draws.draw(i, seed).alias("d"), draws.uniform(i, seed, 10).alias("u"), draws.one_in(i, seed, 3).alias("o"), draws.skewed(i, seed, 6).alias("s")).orderBy("id").collect()
+        for r in rows:
+            assert (r.d, r.u, r.o) == (want[r.id], want[r.id] % 10, want[r.id] % 3 == 0)
+            assert r.s == want[2 * r.id + 1] % (1 << want[2 * r.id] % 7)
+    assert one(spark, draws.draw(F.lit(10**9), 7))[0] == 7 * pow(16807, 10**9, 2**31 - 1) % (2**31 - 1)
+
+
 def test_crc_extends(spark):
     assert hashing.crc32c_bytes(b"world", hashing.crc32c_bytes(b"hello ")) == hashing.crc32c_bytes(b"hello world")
     assert one(spark, hashing.crc32c(lit(b"world"), hashing.crc32c_bytes(b"hello ")))[0] == hashing.crc32c_bytes(b"hello world")

@@ -30,7 +30,7 @@ def changed(data, at, value):
 
 def parallel(spark, logs, start=0):
     files = spark.createDataFrame([(str(i), bytearray(d)) for i, d in enumerate(logs)], "path string, content binary")
-    records, drops = L.assemble(L.log_events(files, start=start), start=start)
+    records, drops = L.parse(files, start=start)
     out = [([], []) for _ in logs]
     for r in records.orderBy("path", "record_offset").collect():
         out[int(r.path)][0].append((r.record_offset, bytes(r.payload)))
@@ -130,3 +130,66 @@ def test_data_source(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("tail").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("tail").count() == 59
+
+
+def payloads_of(df):
+    return [bytes(r.payload) for r in df.orderBy("path", "record_offset").collect()]
+
+
+def test_log_grows_between_batches(spark, tmp_path):
+    """Records written after a batch has fixed its end belong to the next batch, and to no other."""
+    path = tmp_path / "grown"
+    path.mkdir()
+    file = str(path / "a.log")
+    L.append_to_file(file, [b"one", b"two"])
+    tail = L._Tail({"path": str(path)})
+    first = tail.latestOffset()
+    L.append_to_file(file, [b"three", big(b"four", 3 * B), b"five"])
+    got = [bytes(r[2]) for p in tail.partitions({}, first) for r in tail.read(p)]
+    assert got == [b"one", b"two"]
+    second = tail.latestOffset()
+    L.append_to_file(file, [b"six"])
+    got = [bytes(r[2]) for p in tail.partitions(first, second) for r in tail.read(p)]
+    assert got == [b"three", big(b"four", 3 * B), b"five"]
+    got = [bytes(r[2]) for p in tail.partitions(second, tail.latestOffset()) for r in tail.read(p)]
+    assert got == [b"six"]
+
+
+def test_stream_takes_appended_records_once(spark, tmp_path):
+    L.register(spark)
+    path, seen = tmp_path / "logs", []
+    path.mkdir()
+    for k in range(3):
+        L.append_to_file(str(path / "a.log"), [b"%d-%d" % (k, i) * 4000 for i in range(5)])
+        run = spark.readStream.format("recordlog").load(str(path)).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        run.foreachBatch(lambda batch, _: seen.extend(bytes(r.payload) for r in batch.collect())).start().awaitTermination()
+    assert sorted(seen) == sorted(b"%d-%d" % (k, i) * 4000 for k in range(3) for i in range(5))
+
+
+def test_reopened_logs(spark):
+    """A log written at once and one written in parts, reopened each time, have the same bytes."""
+    payloads = [bytes([65 + i]) * n for i, n in enumerate((5, B - 30, 0, 1, 70_000, B - 2 * H, 3, 100))]
+    rows = [(f"log {k}", i, bytearray(p)) for k in range(3) for i, p in enumerate(payloads)]
+    schema, none = "path string, place long, payload binary", spark.createDataFrame([], "path string, content binary")
+    logs = none
+    for a, b in ((0, 1), (1, 4), (4, 4), (4, 8)):
+        logs = L.extend_logs(logs, spark.createDataFrame([r for r in rows if a <= r[1] < b], schema))
+    assert {r.path: bytes(r.content) for r in logs.collect()} == {f"log {k}": write(*payloads) for k in range(3)}
+
+
+def test_logs_are_split_by_size(spark):
+    payloads = [bytes([i]) * n for i, n in enumerate((10_000, 50_000, 200_000, 5, 40_000, 90_000))]
+    df = spark.createDataFrame([(bytearray(p),) for p in payloads], "payload binary").coalesce(1)
+    logs = L.encode_log(df, most=100_000).collect()
+    assert [r.piece for r in logs] == list(range(len(logs))) and len(logs) > 3
+    assert all(len(r.content) <= 100_000 or len(L.read_sequentially(bytes(r.content))[0]) == 1 for r in logs)
+    assert [p for r in logs for _, p in L.read_sequentially(bytes(r.content))[0]] == payloads
+    assert [bytes(r.content) for r in L.encode_log(df.limit(0)).collect()] in ([], [b""])
+
+
+def test_only_offsets_and_sizes_are_sorted(spark):
+    files = spark.createDataFrame([("a", bytearray(FOO))], "path string, content binary")
+    records, drops = L.parse(files)
+    for df in (records, drops):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("data" in line or "bytes#" in line and "binary" in line for line in plan.splitlines() if line.strip(" :+-").startswith("Window"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import changelog, cursor, snapshot
+from tidemark.operators.order import CASELESS, DESCENDING, OrderError, same_order
 from tidemark.schema import MAX_SEQ, ChangeLogError, validate
 
 SCHEMA = "k long, seq long, op int, value string"
@@ -115,3 +116,87 @@ def test_entry_size(spark):
     key, value = F.lit(bytearray(b"k" * 130)), F.lit(bytearray(b"v" * 20000))
     row = spark.range(1).select(F.length(codec.entry(key, F.lit(5), F.lit(1), value)), changelog.entry_size(F.length(key), F.length(value))).first()
     assert row[0] == row[1]
+
+
+def test_seek_with_many_equal_and_null_targets(spark):
+    df = spark.createDataFrame([(k,) for k in (1, 5, 5, 9, None)], "k long")
+    targets = spark.createDataFrame([(i, 5) for i in range(200)] + [(900, 6), (901, 10), (902, None), (903, -3)], "target_id long, target long")
+    found = {r.target_id: r.found for r in cursor.seek_many(df, targets, 3).collect()}
+    assert len(found) == 204 and {found[i] for i in range(200)} == {5} and (found[900], found[901], found[902], found[903]) == (9, None, None, 1)
+
+
+def test_seek_in_one_large_range(spark):
+    """Linear in the rows of a range."""
+    import time
+
+    df, targets = spark.range(0, 400_000, 4).toDF("k"), spark.range(100_000).selectExpr("id AS target_id", "id * 4 - 3 AS target")
+    began = time.perf_counter()
+    assert cursor.seek_many(df, targets, 1).where("found = target + 3").count() == 100_000
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("keys", [["b", "A", "C", "a", "c", "B", ""], [b"\xff", b"\x00a", b"\x7f", b"", b"\x80"]])
+def test_cursors_of_text_and_bytes(spark, keys):
+    as_key = lambda k: bytearray(k) if isinstance(k, bytes) else k
+    df = spark.createDataFrame([(as_key(k),) for k in keys], "k string" if isinstance(keys[0], str) else "k binary")
+    plain = lambda k: bytes(k) if isinstance(k, bytearray) else k
+    ordered = sorted(keys)
+    beside = {plain(r.k): (plain(r.previous), plain(r.following)) for r in cursor.neighbours(df, 3).collect()}
+    assert beside == {k: (ordered[i - 1] if i else None, ordered[i + 1] if i + 1 < len(ordered) else None) for i, k in enumerate(ordered)}
+
+
+def test_other_orders(spark):
+    """Every cursor in an order of its own."""
+    keys = [3, 8, 1, 40, 22]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    down = sorted(keys, reverse=True)
+    assert [r.k for r in cursor.scan(df.selectExpr("k", "1 AS seq", "1 AS op"), DESCENDING).collect()] == down
+    assert [r.k for r in cursor.reverse_scan(df, 2, DESCENDING).collect()] == [1, 3]
+    assert cursor.seek(df, 21, DESCENDING).first().k == 8 and cursor.first(df, DESCENDING).first().k == 40 and cursor.last(df, DESCENDING).first().k == 1
+    assert {r.k for r in cursor.range_scan(df, 22, 3, DESCENDING).collect()} == {22, 8}
+    targets = spark.createDataFrame([(i, i) for i in range(45)], "target_id long, target long")
+    found = {r.target: r.found for r in cursor.seek_many(df, targets, 3, DESCENDING).collect()}
+    assert found == {t: max((k for k in keys if k <= t), default=None) for t in range(45)}
+    assert {r.k: (r.previous, r.following) for r in cursor.neighbours(df, 2, DESCENDING).collect()}[8] == (22, 3)
+
+    words = ["b", "A", "C", "a", "c", "B", "Aa"]
+    folded = sorted(words, key=lambda w: (w.lower(), w))
+    names = spark.createDataFrame([(w,) for w in words], "k string")
+    beside = {r.k: (r.previous, r.following) for r in cursor.neighbours(names, 3, CASELESS).collect()}
+    assert beside == {k: (folded[i - 1] if i else None, folded[i + 1] if i + 1 < len(folded) else None) for i, k in enumerate(folded)}
+    assert cursor.seek(names, "AB", CASELESS).first().k == "B"
+    asked = spark.createDataFrame([(0, "AB"), (1, "d"), (2, "a")], "target_id long, target string")
+    assert {r.target_id: r.found for r in cursor.seek_many(names, asked, 3, CASELESS).collect()} == {0: "B", 1: None, 2: "a"}
+
+
+def test_order_names_are_checked():
+    assert same_order("caseless", CASELESS) is CASELESS
+    with pytest.raises(OrderError):
+        same_order("bytewise", DESCENDING)
+
+
+def test_clean_up_runs_whatever_happens(spark):
+    ran = []
+
+    def fail():
+        ran.append("fail")
+        raise OSError("gone")
+
+    with pytest.raises(OSError, match="gone"):
+        with cursor.cleaned_up(spark.range(3).cache(), fail, lambda: ran.append("after")) as df:
+            assert df.count() == 3 and df.is_cached
+    assert ran == ["fail", "after"] and not df.is_cached
+    with pytest.raises(KeyError):
+        with cursor.cleaned_up(spark.range(3), lambda: ran.append("error")):
+            raise KeyError("own")
+    assert ran[-1] == "error"
+
+
+def test_snapshots_need_no_sort(spark):
+    from tidemark.operators import snapshot
+
+    df = spark.createDataFrame([(1, MAX_SEQ, 1, 0.5), (1, 2**55, 0, 1.5), (2, 2**55 - 1, 1, 2.5), (2, 2**55, 1, None)], "k long, seq long, op int, value double")
+    assert {(r.k, r.seq, r.value) for r in snapshot.snapshot_scan(df).collect()} == {(1, MAX_SEQ, 0.5), (2, 2**55, None)}
+    assert {(r.k, r.seq, r.status) for r in snapshot.latest(df, 2**55).collect()} == {(1, 2**55, "DELETED"), (2, 2**55, "FOUND")}
+    plan = snapshot.latest(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and plan.count("HashAggregate") >= 2

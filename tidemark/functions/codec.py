@@ -6,6 +6,8 @@ give DECIMAL(20,0).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,16 @@ def _reversed_pairs(text: Column, n: int) -> Column:
 
 
 def byte_at(data: Column | str, i: Column | int) -> Column:
-    """Byte number ``i`` from 0 as an integer."""
+    """Byte number ``i`` from 0 as a number; a byte is a character of its own number in Latin-1."""
     i = F.lit(i) if isinstance(i, int) else i
-    return F.conv(F.hex(F.substring(_column(data), i + 1, F.lit(1))), 16, 10).cast("long")
+    return F.ascii(F.decode(F.substring(_column(data), i + 1, F.lit(1)), "ISO-8859-1")).cast("long")
+
+
+def little_endian(data: Column, n: int) -> Column:
+    """The number that the first ``n`` bytes, at most seven, make, least significant first; missing bytes count as 0."""
+    latin = F.decode(F.substring(data, F.lit(1), F.lit(n)), "ISO-8859-1")
+    parts = [F.shiftleft(F.ascii(F.substring(latin, F.lit(i + 1), F.lit(1))).cast("long"), 8 * i) for i in range(n)]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def fixed32(v: Column | str) -> Column:
@@ -44,7 +53,7 @@ def fixed64(v: Column | str) -> Column:
 
 
 def decode_fixed32(data: Column | str) -> Column:
-    return F.conv(_reversed_pairs(F.hex(F.substring(_column(data), 1, 4)), 4), 16, 10).cast("long")
+    return little_endian(_column(data), 4)
 
 
 def decode_fixed64(data: Column | str) -> Column:
@@ -80,7 +89,7 @@ def decode_varint(data: Column | str, bits: int = 64) -> Column:
     """``struct(value, size)`` of the varint at the start, or null where it is cut short or longer than ``bits`` allow (5 or 10 bytes)."""
     data = _column(data)
     most = 5 if bits == 32 else 10
-    byte = F.transform(F.sequence(F.lit(1), F.least(F.length(data), F.lit(most))), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    byte = F.transform(F.sequence(F.lit(0), F.least(F.length(data), F.lit(most)) - 1), lambda i: byte_at(data, i))
     byte = F.when(F.length(data) > 0, byte).otherwise(F.array().cast("array<bigint>"))
 
     def value(byte: Column, n: Column) -> Column:
@@ -141,9 +150,8 @@ def user_key(data: Column | str) -> Column:
 def parse_internal_key(data: Column | str) -> Column:
     """``struct(user_key, seq, op)``, or null for fewer than eight bytes or an unknown operation."""
     data = _column(data)
-    tail = F.hex(F.substring(data, F.length(data) - 7, F.lit(8)))
-    op = F.conv(F.substring(tail, 1, 2), 16, 10).cast("int")
-    seq = F.conv(_reversed_pairs(F.substring(tail, 3, 14), 7), 16, 10).cast("long")
+    op = byte_at(data, F.length(data) - 8).cast("int")
+    seq = little_endian(F.substring(data, F.length(data) - 6, F.lit(7)), 7)
     return F.when((F.length(data) >= 8) & op.isin(DELETE, PUT), F.struct(user_key(data).alias("user_key"), seq.alias("seq"), op.alias("op")))
 
 

@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .codec import byte_at, little_endian
+from .text import let
+
 # The hash's factor, the seed for Bloom filters, CRC-32C's reflected polynomial, the mask's offset.
 HASH_FACTOR = 0xC6A4A793
 BLOOM_SEED = 0xBC9F1D34
@@ -31,29 +34,19 @@ def hash32(data: Column | str, seed: int = BLOOM_SEED) -> Column:
     """Hash of a binary column, as a BIGINT in 0..2**32-1."""
     data = _column(data).cast("binary")
     n = F.length(data)
-    text = F.hex(data)
     whole = F.floor(n / 4).cast("int")
 
-    def number(at: Column, size: int) -> Column:
-        """The little-endian number of ``size`` bytes from byte ``at`` on."""
-        pairs = [F.substring(text, at * 2 + 2 * i + 1, F.lit(2)) for i in reversed(range(size))]
-        return F.conv(F.concat(*pairs), 16, 10).cast("long")
-
     def word(h: Column, i: Column) -> Column:
-        h = _times_factor((h + number(i * 4, 4)).bitwiseAND(_32))
-        return h.bitwiseXOR(F.shiftright(h, 16))
+        mixed = _times_factor((h + little_endian(F.substring(data, i * 4 + 1, F.lit(4)), 4)).bitwiseAND(_32))
+        return let(mixed, lambda m: m.bitwiseXOR(F.shiftright(m, 16)))
+
+    def rest(h: Column) -> Column:
+        last = _times_factor((h + little_endian(F.substring(data, whole * 4 + 1, F.lit(3)), 3)).bitwiseAND(_32))
+        return let(last, lambda m: m.bitwiseXOR(F.shiftright(m, 24)))
 
     start = F.lit(seed & _32).bitwiseXOR(_times_factor(n.cast("long")))
     words = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
-    h = F.aggregate(words, start.cast("long"), word)
-
-    def finish(h: Column) -> Column:
-        at, left = whole * 4, n % 4
-        rest = F.when(left == 1, number(at, 1)).when(left == 2, number(at, 2)).when(left == 3, number(at, 3))
-        last = _times_factor((h + rest).bitwiseAND(_32))
-        return F.when(left == 0, h).otherwise(last.bitwiseXOR(F.shiftright(last, 24)))
-
-    return F.aggregate(F.array(h), F.lit(0).cast("long"), lambda _, x: finish(x))
+    return F.aggregate(words, start.cast("long"), word, lambda h: F.when(n % 4 == 0, h).otherwise(rest(h)))
 
 
 def hash32_many(keys: list[bytes], seed: int = BLOOM_SEED) -> np.ndarray:
@@ -90,13 +83,13 @@ def crc32c(data: Column | str, start: int = 0) -> Column:
     """CRC-32C of a binary column continuing from ``start``, as a BIGINT."""
     data = _column(data).cast("binary")
     table = F.array(*(F.lit(int(x)) for x in crc_table()))
-    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
+    places = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.length(data) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def step(crc: Column, pair: Column) -> Column:
-        at = crc.bitwiseXOR(F.conv(pair, 16, 10).cast("long")).bitwiseAND(255)
+    def step(crc: Column, i: Column) -> Column:
+        at = crc.bitwiseXOR(byte_at(data, i)).bitwiseAND(255)
         return F.get(table, at.cast("int")).bitwiseXOR(F.shiftright(crc, 8))
 
-    return F.aggregate(pairs, F.lit(start ^ _32).cast("long"), step, lambda c: c.bitwiseXOR(_32))
+    return F.aggregate(places, F.lit(start ^ _32).cast("long"), step, lambda c: c.bitwiseXOR(_32))
 
 
 def crc_mask(crc: Column | str) -> Column:
@@ -122,10 +115,50 @@ def _slices() -> list[list[int]]:
     return [t.tolist() for t in tables]
 
 
+_LANE = 64
+
+
+@lru_cache(maxsize=32)
+def _shifts(level: int) -> np.ndarray:
+    """What ``_LANE << level`` zero bytes after them make of checksums, by each of their four bytes: tables ``(4, 256)``."""
+    if level:
+        below = _shifts(level - 1)
+        return np.stack([_shifted(row, below) for row in below])
+    state = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
+    table = crc_table().astype(np.uint32)
+    for _ in range(_LANE):
+        state = table[state & np.uint32(255)] ^ (state >> np.uint32(8))
+    return state
+
+
+def _shifted(crc: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    return tables[0][crc & np.uint32(255)] ^ tables[1][(crc >> np.uint32(8)) & np.uint32(255)] ^ tables[2][(crc >> np.uint32(16)) & np.uint32(255)] ^ tables[3][crc >> np.uint32(24)]
+
+
+def _lanes(data: bytes, crc: int) -> int:
+    """The running checksum after whole lanes of ``data``: all lanes side by side, then joined two by two."""
+    lanes = np.frombuffer(data, np.uint8).reshape(-1, _LANE).copy()
+    lanes[0, :4] ^= np.frombuffer(crc.to_bytes(4, "little"), np.uint8)
+    table = crc_table().astype(np.uint32)
+    state = np.zeros(len(lanes), np.uint32)
+    for column in np.ascontiguousarray(lanes.T):
+        state = table[(state ^ column) & np.uint32(255)] ^ (state >> np.uint32(8))
+    level = 0
+    while len(state) > 1:
+        if len(state) % 2:
+            state = np.concatenate([np.zeros(1, np.uint32), state])  # zeros in front change nothing
+        state = _shifted(state[::2], _shifts(level)) ^ state[1::2]
+        level += 1
+    return int(state[0])
+
+
 def crc32c_bytes(data: bytes, start: int = 0) -> int:
-    """CRC-32C of a byte string, eight bytes a step."""
-    t0, t1, t2, t3, t4, t5, t6, t7 = _slices()
+    """CRC-32C of a byte string: long ones in lanes, the rest eight bytes a step."""
     crc = start ^ _32
+    if len(data) >= 16 * _LANE:
+        whole = len(data) - len(data) % _LANE
+        crc, data = _lanes(data[:whole], crc), data[whole:]
+    t0, t1, t2, t3, t4, t5, t6, t7 = _slices()
     whole = len(data) - len(data) % 8
     for a, b in np.frombuffer(data[:whole], "<u4").reshape(-1, 2).tolist():
         a ^= crc

@@ -21,13 +21,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def escape_bytes(data: Column | str) -> Column:
     """Printable ASCII as it is, any other byte as ``\\xNN``; a backslash is printable and stays."""
-    pairs = F.regexp_extract_all(F.hex(_column(data).cast("binary")), F.lit("(..)"), F.lit(1))
-
-    def show(pair: Column) -> Column:
-        code = F.conv(pair, 16, 10).cast("int")
-        return F.when(code.between(32, 126), F.char(code)).otherwise(F.concat(F.lit("\\x"), F.lower(pair)))
-
-    return F.array_join(F.transform(pairs, show), "")
+    latin = F.decode(_column(data).cast("binary"), "ISO-8859-1")  # a character for each byte
+    runs = F.regexp_extract_all(latin, F.lit("[^ -~]+"), F.lit(0))
+    shown = F.transform(runs, lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "ISO-8859-1"))), "(..)", r"\\x$1"))
+    parts = F.zip_with(F.split(latin, "[^ -~]+", -1), shown, lambda plain, other: F.concat(plain, F.coalesce(other, F.lit(""))))
+    return F.when(F.rlike(latin, F.lit("[^ -~]")), F.array_join(parts, "")).otherwise(latin)
 
 
 def number_text(v: Column | str) -> Column:

@@ -88,29 +88,51 @@ def serialize_filters(filters: DataFrame) -> DataFrame:
 
 
 def parse_filters(block: Column | str) -> Column:
-    """``array<struct(start, limit, filter)>`` of a serialized block; null where it is too short or its offsets lie outside."""
+    """``struct(span_bits, end, filters array<struct(start, limit, filter)>)`` of a serialized block: its own span, the place of the offsets, the filters.
+
+    A filter whose bounds are not in order or lie beyond the offsets' place is null. Null as a whole for a block that is too short or
+    whose offsets would lie outside it.
+    """
     block = F.col(block) if isinstance(block, str) else block
     n = F.length(block)
-    at = decode_fixed32(F.substring(block, n - 4, F.lit(4))).cast("int")
-    count = F.floor((n - _TRAILER - at) / 4).cast("int")
-    offset = lambda i: decode_fixed32(F.substring(block, at + i * 4 + 1, F.lit(4))).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct(offset(i).alias("start"), offset(i + 1).alias("limit"), F.substring(block, offset(i) + 1, offset(i + 1) - offset(i)).alias("filter")),
-    )
-    return F.when((n >= _TRAILER) & (at <= n - _TRAILER), F.when(count > 0, cells).otherwise(F.array().cast("array<struct<start:int,limit:int,filter:binary>>")))
 
+    def parsed(end: Column) -> Column:
+        count = F.floor((n - _TRAILER - end) / 4).cast("int")
+        offset = lambda i: decode_fixed32(F.substring(block, (end + i * 4 + 1).cast("int"), F.lit(4)))
+
+        def cell(start: Column, limit: Column) -> Column:
+            inside = (start <= limit) & (limit <= end)
+            return F.struct(start.alias("start"), limit.alias("limit"), F.when(inside, F.substring(block, (start + 1).cast("int"), (limit - start).cast("int"))).alias("filter"))
+
+        cells = F.transform(F.sequence(F.lit(0), count - 1), lambda i: let(offset(i), lambda start: let(offset(i + 1), lambda limit: cell(start, limit))))
+        none = F.array().cast("array<struct<start:bigint,limit:bigint,filter:binary>>")
+        whole = F.struct(byte_at(block, n - 1).cast("int").alias("span_bits"), end.alias("end"), F.when(count > 0, cells).otherwise(none).alias("filters"))
+        return F.when(end <= n - _TRAILER, whole)
+
+    return F.when(n >= _TRAILER, let(decode_fixed32(F.substring(block, n - 4, F.lit(4))), parsed))
 
-def block_may_match(block_offset: Column | str, key: Column | str, filters: Column, match: Callable[[Column, Column], Column] = bloom_may_match) -> Column:
-    """Whether the data at ``block_offset`` may hold ``key``, by ``filters`` as parsed. Past the filters, or with damaged bounds, they may; an empty filter holds nothing."""
+
+def block_may_match(block_offset: Column | str, key: Column | str, parsed: Column, match: Callable[[Column, Column], Column] = bloom_may_match) -> Column:
+    """Whether the data at ``block_offset`` may hold ``key``, by a block as parsed, with its own span.
+
+    An empty filter holds nothing. Past the filters, with damaged bounds or in a block that doesn't parse, anything may be held.
+    """
     block_offset = F.col(block_offset) if isinstance(block_offset, str) else block_offset
-    cell = F.get(filters, F.floor(block_offset / SPAN).cast("int"))
+    key = F.col(key) if isinstance(key, str) else key
+    bits = parsed["span_bits"]
+    place = F.when(bits < 63, F.call_function("shiftright", block_offset.cast("long"), bits)).otherwise(0)
+    cell = F.when(place < F.size(parsed["filters"]), F.get(parsed["filters"], place.cast("int")))
     return (
-        F.when(filters.isNull() | cell.isNull(), True).when(cell["start"] == cell["limit"], False).when(cell["start"] > cell["limit"], True)
-        .otherwise(match(F.col(key) if isinstance(key, str) else key, cell["filter"]))
+        F.when(parsed.isNull() | cell.isNull(), True).when(cell["start"] == cell["limit"], False).when(cell["filter"].isNull(), True)
+        .otherwise(match(key, cell["filter"]))
     )
 
 
+def filter_rows(blocks: DataFrame, block_col: str = "block") -> DataFrame:
+    """``(filter_index, start, limit, filter)``, a row for each filter of serialized blocks: what :func:`pruned_lookup` joins."""
+    return blocks.select(F.posexplode(parse_filters(block_col)["filters"]).alias("at", "f")).select(F.col("at").cast("long").alias("filter_index"), "f.start", "f.limit", "f.filter")
+
+
 def pruned_lookup(data: DataFrame, filters: DataFrame, probes: DataFrame) -> DataFrame:
     """``probes (block_offset, key)`` that ``data (block_offset, key)`` holds, checked exactly where a filter lets them through."""
     at = F.floor(F.col("block_offset") / SPAN).cast("long")

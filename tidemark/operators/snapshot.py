@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codec import pack_version
 from ..schema import ABSENT, DELETED, FOUND, PUT
 
 
-def _newest() -> Column:
-    return F.max_by(F.struct("seq", "op", "value"), F.struct("seq", "op"))
+#: Flips the sign bit, so that version words, which fill 64 bits, compare as if unsigned.
+_SIGN = -(1 << 63)
+
+
+def _version() -> Column:
+    """``seq`` and ``op`` in one number that orders as they do, for sequence numbers of 56 bits."""
+    return pack_version("seq", "op").bitwiseXOR(_SIGN)
+
+
+def newest_of(log: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, ``seq``, ``op`` and ``value`` of each key's newest version.
+
+    Two aggregates, of a number and of the value it picks: with values of fixed width the buffers are too, and no side of the shuffle sorts.
+    """
+    picked = log.groupBy(*keys).agg(F.max(_version()).alias("v"), F.max_by("value", _version()).alias("value"))
+    word = F.col("v").bitwiseXOR(_SIGN)
+    return picked.select(*keys, F.call_function("shiftrightunsigned", word, F.lit(8)).alias("seq"), word.bitwiseAND(255).cast("int").alias("op"), "value")
 
 
 def status_of(op: Column) -> Column:
@@ -26,8 +42,7 @@ def latest(log: DataFrame, snapshot: int | Column | None = None) -> DataFrame:
 
     A partial aggregate on each side of one shuffle by key: a hot key costs a task one row.
     """
-    newest = as_of(log, snapshot).groupBy("k").agg(_newest().alias("v"))
-    return newest.select("k", "v.seq", "v.op", "v.value", status_of(F.col("v.op")).alias("status"))
+    return newest_of(as_of(log, snapshot), "k").withColumn("status", status_of(F.col("op")))
 
 
 def snapshot_scan(log: DataFrame, snapshot: int | Column | None = None) -> DataFrame:
@@ -42,9 +57,9 @@ def tombstones(log: DataFrame, snapshot: int | None = None) -> DataFrame:
 
 def get(log: DataFrame, key, snapshot: int | None = None) -> DataFrame:
     """One row for one key: ``(k, status, seq, value)``; both filters reach the scan."""
-    seen = as_of(log.where(F.col("k") == F.lit(key)), snapshot).agg(_newest().alias("v"))
+    seen = newest_of(as_of(log.where(F.col("k") == F.lit(key)), snapshot))
     kind = log.schema["k"].dataType
-    return seen.select(F.lit(key).cast(kind).alias("k"), status_of(F.col("v.op")).alias("status"), "v.seq", "v.value")
+    return seen.select(F.lit(key).cast(kind).alias("k"), status_of(F.col("op")).alias("status"), "seq", "value")
 
 
 def multi_get(log: DataFrame, lookups: DataFrame) -> DataFrame:

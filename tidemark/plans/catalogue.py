@@ -5,7 +5,7 @@ Change log C1 comes from ``events``: a user's events are versions, errors are de
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from ..functions import codec, hashing, separators, text
 from ..operators import changelog, cursor, filters, snapshot
 from ..sources import recordlog
+from ..session import shared_folder
 from ..streaming import latest as streaming
-from . import relational
+from . import bytes_and_logs, relational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,7 +54,7 @@ def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def half(spark: SparkSession, sf_dir: str) -> int:
-    """A snapshot in the middle of the log; the maximum comes of the files' statistics."""
+    """A snapshot in the middle of the log; its maximum is looked up once, from one column."""
     return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 2
 
 
@@ -122,7 +123,7 @@ def compaction_survivors(spark, sf_dir):
 
 @query(f"WITH {C1_SQL} SELECT k, seq, CAST(op AS BIGINT) AS op, row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) AS place FROM c1")
 def ordered_version_scan(spark, sf_dir):
-    rows = snapshot.history(cursor.scan(c1(spark, sf_dir)))
+    rows = snapshot.history(c1(spark, sf_dir))
     return rows.select("k", "seq", F.col("op").cast("long").alias("op"), F.col("version_no").alias("place"))
 
 
@@ -343,12 +344,6 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select((F.col("o_orderkey") * 100).alias("block_offset"), codec.fixed32("o_orderkey").alias("key"), F.col("o_orderkey").alias("k"))
 
 
-@query()
-def bloom_build(spark, sf_dir):
-    rows = _blocks(spark, sf_dir).withColumn("bucket", F.col("k") % 64)
-    return rows.groupBy("bucket").agg(filters.bloom_filter()("key").alias("filter")).select("bucket", hexed(F.col("filter")).alias("filter"))
-
-
 @query("SELECT count(*) AS members, CAST(0 AS BIGINT) AS missed FROM orders")
 def bloom_probe_no_false_negative(spark, sf_dir):
     rows = _blocks(spark, sf_dir).withColumn("bucket", F.col("k") % 64)
@@ -377,40 +372,15 @@ def test_hash_filter(spark, sf_dir):
 # Record log
 
 
-def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as log files ``(path, content)``, one for each partition of texts."""
-    parts = table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("payload")).repartition(4, F.xxhash64("payload"))
-    return recordlog.encode_log(parts).select(F.concat(F.lit("log-"), F.col("part").cast("string")).alias("path"), "content")
-
-
 @query("SELECT md5(text) AS text_md5, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
 def log_roundtrip(spark, sf_dir):
-    records, _ = recordlog.assemble(recordlog.log_events(_logs(spark, sf_dir)))
+    """Documents written as logs, each partition its own, and read back."""
+    texts = table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("payload")).repartition(F.xxhash64("payload"))
+    logs = recordlog.encode_log(texts).select(F.concat_ws("-", F.lit("log"), F.col("part").cast("string"), F.col("piece").cast("string")).alias("path"), "content")
+    records, _ = recordlog.parse(logs)
     return records.select(F.md5("payload").alias("text_md5"), F.length("payload").cast("long").alias("bytes"))
 
 
-@query()
-def log_corruption_report(spark, sf_dir):
-    """Drops by reason of logs in which a byte of every fifth block is changed."""
-    block = recordlog.BLOCK
-    cuts = F.sequence(F.lit(0), F.length("content") - 1, F.lit(block))
-    damaged = F.transform(
-        F.transform(cuts, lambda c: F.substring("content", c + 1, F.lit(block))),
-        lambda b, i: F.when((i % 5 == 2) & (F.length(b) > 200), F.concat(F.substring(b, F.lit(1), F.lit(100)), F.lit(b"\xff"), F.substring(b, F.lit(102), F.lit(block)))).otherwise(b),
-    )
-    logs = _logs(spark, sf_dir).select("path", F.aggregate(damaged, F.lit(b""), lambda a, b: F.concat(a, b)).alias("content"))
-    _, drops = recordlog.assemble(recordlog.log_events(logs))
-    return drops.groupBy("reason").agg(F.count("*").alias("times"), F.sum("bytes").alias("bytes"))
-
-
-@query()
-def log_start_offset(spark, sf_dir):
-    """Records that begin at or after an offset within the third block."""
-    start = 2 * recordlog.BLOCK + 1000
-    records, _ = recordlog.assemble(recordlog.log_events(_logs(spark, sf_dir), start=start), start=start)
-    return records.select("path", "record_offset", F.md5("payload").alias("text_md5"))
-
-
 # Streams
 
 
@@ -421,10 +391,7 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(SQL["snapshot_latest_agg"].replace(f" WHERE seq <= {HALF_SQL}", ""))
@@ -446,5 +413,17 @@ def stream_append_store(spark, sf_dir):
     return spark.read.parquet(f"{folder}/store").select("k", "seq", F.col("op").cast("long").alias("op"), "value")
 
 
-QUERIES |= relational.QUERIES
-SQL |= relational.SQL
+@query("""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, count(*) FILTER (WHERE event_type <> 'error') AS puts, count(*) FILTER (WHERE event_type = 'error') AS deletes FROM events GROUP BY 1""")
+def stream_windowed_changes(spark, sf_dir):
+    """Puts and deletes by the hour of event time, by a stream that bears late rows; windows that are still open at the end come of a last update."""
+    folder = _folder(spark)
+    events = _streamed(spark, sf_dir, "events")
+    log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("op"))
+    updates = streaming.windowed_changes(log, "ts").writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    updates.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/windows")).start().awaitTermination()
+    kept = spark.read.parquet(f"{folder}/windows").groupBy("window_start").agg(F.max(F.struct("batch", "puts", "deletes")).alias("w"))
+    return kept.select("window_start", "w.puts", "w.deletes")
+
+
+QUERIES |= relational.QUERIES | bytes_and_logs.QUERIES
+SQL |= relational.SQL | bytes_and_logs.SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,3 +22,14 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, f"{root.name}/{path.relative_to(root)}")
     context.addPyFile(str(target))
     context._tidemark_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, which ``spark.checkpoint.dir`` or the checkpoint directory names; a temporary one where a local session has neither."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.snapshot import status_of
+from ..operators.snapshot import newest_of, status_of
 
 
 def latest_stream(log: DataFrame) -> DataFrame:
@@ -15,8 +15,7 @@ def latest_stream(log: DataFrame) -> DataFrame:
     The state of a key is its newest version, tombstones included, so a version that arrives late neither wins nor brings a deleted
     key back. It grows with the number of keys; nothing expires, as an old key may always be read.
     """
-    newest = log.groupBy("k").agg(F.max_by(F.struct("seq", "op", "value"), F.struct("seq", "op")).alias("v"))
-    return newest.select("k", "v.seq", "v.op", "v.value", status_of(F.col("v.op")).alias("status"))
+    return newest_of(log, "k").withColumn("status", status_of(F.col("op")))
 
 
 def windowed_changes(log: DataFrame, time_col: str, *, delay: str = "10 minutes", length: str = "1 hour") -> DataFrame:
