@@ -6,40 +6,80 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_batches, materialize, texts
+from .common import map_arrow, map_batches, materialize, small_side, texts
 
-#: Letters of other scripts, full width included, that look like Latin ones.
-_LOOKALIKES = dict(zip("аеорсухіѕјкмтвнԁɡοαεικνρτυ", "aeopcyxisjkmtbhdgoaeiknptu")) | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
+# Characters that look like Latin letters and do not come apart into them, script by script.
+_LOOKALIKES = dict(zip(
+    "аеорсухіѕјкмтвнԁԛԝһӏѵґєзђћџүѐёїўбпгилдшщ" "αβγεζηικνορτυχωϲϳ" "աոսօցհյզքվտղ" "ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ" "ɑɐəɛɡɩıɨȷłøđħŧƀɓɔɖɗƒɠɦɫɱɲŋƥɾʂƭʋʉʍʎʒ",
+    "aeopcyxisjkmtbhdqwhlvgeshhuueeiybnrnndww" "abyezhiknoptuxwcj" "wnuoghjzqvun" "abcdefghijklmnoprstuvwyz" "aaeegiiijlodhtbboddfghlmnnprstvuwyz",
+))
 _DIGITS = dict(zip("013457", "oieast"))
 _SYMBOLS = dict(zip("@$!", "asi"))
 _FOLD = str.maketrans(_LOOKALIKES)
+#: Accents and other marks that combine with a letter, and characters without width.
+_UNSEEN = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]")
 _LEET = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])|(?<![^\W_])[013457@$]+(?=[^\W\d_]{2})")
 _LEET_TABLE = str.maketrans(_DIGITS | _SYMBOLS)
 _BREAK = re.compile(r"[\W\d_]+")
+#: A word spelt out: four or more single letters.
+_SPELT = re.compile(r"(?<= )(?:[^ ] ){3,}[^ ](?= )")
 
 #: General insults: matched as the start of a word, before any label is seen.
-SEED = ("idiot", "moron", "imbecile", "stupid", "dumbass", "worthless", "pathetic", "disgusting", "scum", "vermin", "loser", "asshole", "bastard", "bitch")
+SEED = (
+    "idiot", "moron", "imbecile", "stupid", "dumbass", "worthless", "pathetic", "disgusting", "scum", "vermin", "loser", "asshole", "bastard", "bitch", "dimwit", "halfwit", "nitwit",
+    "cretin", "dunce", "simpleton", "airhead", "numbskull", "blockhead", "knucklehead", "lowlife", "dirtbag", "scumbag", "sleazebag", "douchebag", "jackass", "dumbfuck", "fuckface",
+    "motherfuck", "shithead", "bullshit", "dickhead", "crackhead", "parasit", "filthy", "degenerat", "subhuman", "despicabl", "repulsiv", "hypocrit",
+)
 #: In these phrases a term of the lexicon counts for nothing.
 EXCEPTIONS = (
-    "idiot proof", "idiot board", "stupid simple", "stupid question", "trash can", "trash bin", "trash bag", "trash collection", "recycle trash",
-    "pathetic fallacy", "clown fish", "clown car", "circus clown", "sore loser", "pond scum", "soap scum", "disgusting smell", "bitch of the litter",
-    "worthless check", "worthless stock", "loser pays", "losers bracket",
+    "idiot proof", "idiot board", "idiot light", "idiot savant", "useful idiot theory", "stupid simple", "stupid question", "no stupid questions", "stupid fast", "keep it simple stupid",
+    "trash can", "trash bin", "trash bag", "trash collection", "trash day", "trash pickup", "trash compactor", "trash icon", "trash folder", "recycle trash", "take out the trash",
+    "pathetic fallacy", "clown fish", "clown car", "clown nose", "clown shoes", "clown costume", "clown school", "circus clown", "rodeo clown", "birthday clown", "class clown award",
+    "sore loser", "loser pays", "losers bracket", "loser s bracket", "losers final", "biggest loser show", "pond scum", "soap scum", "scum layer", "scum removal", "scum village",
+    "disgusting smell", "disgusting taste", "bitch of the litter", "brood bitch", "bitch puppies", "worthless check", "worthless stock", "worthless currency", "worthless option",
+    "expires worthless", "bastard file", "bastard sword", "bastard toadflax", "bastard title", "vermin control", "vermin proof", "vermin infestation", "parasite host", "parasitic wasp",
+    "parasitic plant", "parasitic capacitance", "parasitic infection", "parasitic load", "moron particle", "garbage collection", "garbage collector", "garbage truck", "garbage disposal",
+    "garbage can", "dunce cap", "filthy rich", "degenerate matter", "degenerate case", "degenerate orbitals", "degenerate triangle", "dummy variable", "crash test dummy", "jackass penguin",
+    "hypocritical fallacy", "rat race", "lab rat", "pig iron", "snake oil", "dog breed",
 )
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alike letters and digits within words made Latin, every run of other characters one blank; blanks at both ends."""
+    """Lower case, with what is made to look like other words made plain, every run of other characters one blank; blanks at both ends.
+
+    Compatibility composition makes full width, mathematical alphabets and ligatures plain; marks that no letter takes and characters
+    without width go; look-alike letters, and digits and marks within words, become Latin letters; letters spelt one by one are joined.
+    Accented letters stay, as they tell words of a language apart: :func:`bare` takes their accents off.
+    """
     text = text.lower()
     if not text.isascii():
-        text = text.translate(_FOLD)
+        text = _UNSEEN.sub("", normalize("NFKC", text)).lower().translate(_FOLD)
     text = _LEET.sub(lambda m: m[0].translate(_LEET_TABLE), text)
-    return " " + _BREAK.sub(" ", text).strip() + " "
+    return _SPELT.sub(lambda m: m[0].replace(" ", ""), " " + _BREAK.sub(" ", text).strip() + " ")
+
+
+class _Bases(dict):
+    """Letters without their accents, found out as they are met."""
+
+    def __missing__(self, code: int) -> int:
+        first = ord(normalize("NFD", chr(code))[0])
+        self[code] = first if first < 128 else code
+        return self[code]
+
+
+_BASES = _Bases()
+
+
+def bare(folded: str) -> str:
+    """Folded text without accents, letter for letter."""
+    return folded.translate(_BASES)
 
 
 @dataclass(frozen=True)
@@ -52,7 +92,7 @@ class Lexicon:
     exceptions: tuple[str, ...] = EXCEPTIONS
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _automaton(terms: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]):
     import ahocorasick
 
@@ -68,8 +108,17 @@ def _automaton(terms: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]
     return auto
 
 
+@lru_cache(maxsize=2)
+def _general(terms: tuple[tuple[str, float], ...]) -> tuple[tuple[str, float], ...]:
+    """The general insults among the terms: those that are looked for under accents too."""
+    return tuple((t, w) for t, w in terms if t in SEED)
+
+
 def matches(folded: str, lexicon: Lexicon) -> list[tuple[int, str, float]]:
-    """Matches ``(start, term, weight)``: for each word the heaviest term that starts it, outside exception phrases."""
+    """Matches ``(start, term, weight)``: for each word the heaviest term that starts it, outside exception phrases.
+
+    A word with accents is matched as it is by all terms, and without them by the general insults.
+    """
     if not lexicon.terms and not lexicon.exceptions:
         return []
     best: dict[int, tuple[str, float]] = {}
@@ -80,6 +129,11 @@ def matches(folded: str, lexicon: Lexicon) -> list[tuple[int, str, float]]:
             excused.append((start, end))
         elif start not in best or best[start][1] < weight:
             best[start] = (term, weight)
+    if not folded.isascii() and (general := _general(lexicon.terms)):
+        for end, (size, weight, term) in _automaton(general, ()).iter(bare(folded)):
+            start = end - size + 1
+            if start not in best or best[start][1] < weight:
+                best[start] = (term, weight)
     found, at = [], 0
     excused.sort()
     reach = -1
@@ -116,14 +170,15 @@ def fit_calibration(x: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[np.n
 
 def fit_lexicon(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000,
-    starts: tuple[int, int] = (4, 9), least_docs: int = 6, least_ratio: float = 3.0, max_terms: int = 2_000,
+    starts: tuple[int, int] = (4, 9), least_docs: int = 6, least_ratio: float = 3.0,
 ) -> Lexicon:
     """Learn word starts and their weights from labelled rows: at most ``max_rows`` ids (a bounded sample, the first by a hash of the id).
 
     A start of a folded word counts once a document. Kept are those in ``least_docs`` toxic documents or more whose smoothed
-    log-odds against other documents reach ``least_ratio``; a longer start gives way to a shorter one about as telling. The seed
+    log-odds against other documents reach ``least_ratio``, all of them; a longer start gives way to a shorter one about as telling. The seed
     terms join with at least ``least_ratio``. Then the score is fitted on the same rows. Null ids, labels and texts are left
-    out; of an id labelled twice the larger label counts. Without labelled rows of both kinds the seed alone scores.
+    out; of an id labelled twice the larger label counts. Without labelled rows of both kinds the seed alone scores. The driver gets
+    the lexicon itself, which the sample bounds.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -136,45 +191,39 @@ def fit_lexicon(
     sample = materialize(source.join(F.broadcast(chosen), "id").select("y", "text"), "toxic-sample")
     lo, hi = starts
 
-    def toxic_only(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                if y > 0:
-                    own = set(fold(text).split())
-                    seen.update({w[:k] for w in own for k in range(lo, min(hi, len(w)) + 1)})
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "toxic": pa.array(list(seen.values()), pa.int64())})
-
-    def clean_only(batches, wanted):
-        seen: Counter = Counter()
-        for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                if y <= 0:
-                    own = set(fold(text).split())
-                    seen.update({w[:k] for w in own for k in range(lo, min(hi, len(w)) + 1)} & wanted)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "clean": pa.array(list(seen.values()), pa.int64())})
+    def begun(toxic: bool):
+        """Counts of the documents of one kind that have a word start."""
+
+        def count(batches):
+            seen: Counter = Counter()
+            for batch in batches:
+                for y, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+                    if (y > 0) == toxic:
+                        seen.update({w[:k] for w in set(fold(text).split()) for k in range(lo, min(hi, len(w)) + 1)})
+            terms, n = list(seen), list(seen.values())
+            for at in range(0, len(terms), 50_000):
+                yield pa.RecordBatch.from_pydict({"term": pa.array(terms[at : at + 50_000], pa.string()), "n": pa.array(n[at : at + 50_000], pa.int64())})
+
+        return map_batches(sample.select("y", "text"), count, "term string, n bigint")
 
     sizes = {r["y"] > 0: r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     seed = tuple((t, least_ratio) for t in SEED)
     if not n1 or not n0:
         return Lexicon(seed)
-    # a start in few toxic documents goes before anything is collected
-    frequent = (
-        map_batches(sample.select("y", "text"), toxic_only, "term string, toxic bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= least_docs).orderBy(F.desc("toxic"), "term").limit(100 * max_terms)
-    )
-    toxic = {r["term"]: r["toxic"] for r in frequent.collect()}
-    wanted = frozenset(toxic)
-    clean = Counter({r["term"]: r["clean"] for r in map_batches(sample.select("y", "text"), lambda b: clean_only(b, wanted), "term string, clean bigint").groupBy("term").agg(F.sum("clean").alias("clean")).collect()})
-    ratio = {t: float(np.log((v + 0.5) / (n1 + 1)) - np.log((clean[t] + 0.5) / (n0 + 1))) for t, v in toxic.items()}
+    # a start in few toxic documents goes before clean ones are counted, and what does not tell them apart before anything is collected
+    toxic = materialize(begun(True).groupBy("term").agg(F.sum("n").alias("toxic")).where(F.col("toxic") >= least_docs), "toxic-starts")
+    clean = begun(False).join(small_side(toxic.select("term")), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("clean"))
+    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.coalesce("clean", F.lit(0)) + 0.5) / (n0 + 1))
+    telling = toxic.join(clean, "term", "left").select("term", odds.alias("ratio")).where(F.col("ratio") >= least_ratio)
+    ratio = {r["term"]: r["ratio"] for r in telling.collect()}
     kept: dict[str, float] = {}
-    for t in sorted((t for t in ratio if ratio[t] >= least_ratio), key=lambda t: (len(t), t)):
+    for t in sorted(ratio, key=lambda t: (len(t), t)):
         shorter = [kept[t[:k]] for k in range(lo, len(t)) if t[:k] in kept]
         if not shorter or ratio[t] > max(shorter) + 1.5:
             kept[t] = ratio[t]
     kept |= {t: max(r, kept.get(t, 0.0)) for t, r in seed}
-    terms = tuple(sorted(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:max_terms]))
+    terms = tuple(sorted(kept.items()))
     plain = Lexicon(terms)
 
     def measure(batch: pa.RecordBatch) -> dict:
@@ -218,6 +267,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The score of each row of ``docs`` by a lexicon learned from the labelled rows that are not held out.
+
+    A row for each row, whatever its id; null and empty texts score as texts without a match; without labels the seed scores.
+    """
     lexicon = fit_lexicon(docs.where(~held_out()), labels.where(~held_out()))
     out = score_toxicity(docs, lexicon)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_matches", F.array_join("terms", ",").alias("terms"))
