@@ -13,6 +13,8 @@ from .common import map_arrow, map_batches
 from .textvec import LOWER, SPACES, U64, hash_spans, text_bytes, words
 
 BITS = 14
+#: A document is kept when the probability of a good grade is at least this.
+KEEP_TAIL = 0.5
 _SALT = {"word": 1, "shape": 2, "pair": 3, "again": 4}
 
 
@@ -63,12 +65,16 @@ def features(column: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.nd
 
 @dataclass
 class OrdinalModel:
-    """``P(grade <= k) = sigmoid(cuts[k] - weights.x)``: shared weights, ordered cuts, one fewer than grades."""
+    """``P(grade <= k) = sigmoid(cuts[k] - weights.x)``: shared weights, ordered cuts, one fewer than grades.
+
+    Grades from number ``good`` on are those of the tail probability.
+    """
 
     grades: list[float]
     weights: np.ndarray
     cuts: np.ndarray
     bits: int = BITS
+    good: int = 1
 
     def proba(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         z = np.array([float((self.weights[i] * v).sum()) for i, v in rows])
@@ -76,6 +82,10 @@ class OrdinalModel:
         below[:, :-1] = _sigmoid(self.cuts[None, :] - z[:, None])
         return np.diff(below, axis=1, prepend=0.0)
 
+    def tail(self, p: np.ndarray) -> np.ndarray:
+        """The probability of a good grade, of :meth:`proba`'s rows."""
+        return p[:, self.good :].sum(axis=1)
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -123,11 +133,38 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray,
     return OrdinalModel(grades, w, free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))]), bits)
 
 
+def split_lowest(rows: list, ratings: np.ndarray, parts: list[list], *, bits: int = BITS) -> np.ndarray:
+    """Ratings with the lowest one graded further: a text that has a good part lies halfway to the next rating.
+
+    ``parts`` has the features of each lowest-rated text's parts, in the order of those texts. Whether a part is good says a model that
+    was fitted on the other half of the texts.
+    """
+    lowest = np.flatnonzero(ratings == ratings.min())
+    above = ratings[ratings > ratings.min()]
+    if not len(above):
+        return ratings
+    out = ratings.copy()
+    half = np.arange(len(rows)) % 2
+    for h in (0, 1):
+        fitted = np.flatnonzero(half != h)
+        model = fit_ordinal([rows[i] for i in fitted], ratings[fitted], bits=bits)
+        if len(model.grades) < 2 or model.grades[0] != ratings.min():
+            return ratings
+        for i, own in zip(lowest, parts):
+            if half[i] == h and own and (model.tail(model.proba(own)) >= KEEP_TAIL).any():
+                out[i] = (ratings.min() + above.min()) / 2
+    return out
+
+
+_PARTS = 4
+
+
 def fit_quality(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rating_col: str = "rating", max_rows: int = 10_000, bits: int = BITS) -> OrdinalModel:
-    """Fit on rated rows of ``docs``: at most ``max_rows`` of them (a bounded sample, the first by a hash of the id), collected as features.
+    """Fit on rated ids of ``docs``: at most ``max_rows`` of them (a bounded sample, the first by a hash of the id), collected as features.
 
-    Null ids, texts and ratings are left out; an id rated twice counts with its lowest rating. Without any rated row the model
-    has the single grade 0. A repeated document id counts once for each of its rows, of which ``max_rows`` again bounds the number.
+    Texts of the lowest rating are graded further: those with a good quarter lie halfway to the next rating (:func:`split_lowest`), and
+    the tail is that of the ratings above the lowest. Null ids, texts and ratings are left out; an id rated twice counts with its
+    lowest rating, an id with several texts once, with the first text in order. Without any rated row the model has the single grade 0.
     """
     chosen = (
         ratings.where(F.col(id_col).isNotNull() & F.col(rating_col).isNotNull())
@@ -137,22 +174,40 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id",
         .limit(max_rows)
     )
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    sample = source.join(F.broadcast(chosen), "id").select("rating", "text")
+    sample = source.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("rating").alias("rating"), F.min("text").alias("text"))
+    lowest = chosen.agg(F.min("rating")).first()[0]
 
     def run(batch: pa.RecordBatch) -> dict:
-        got = features(batch.column(1), bits)
-        return {"rating": batch.column(0), "i": [i.astype("<u4").tobytes() for i, _ in got], "v": [v.astype("<f4").tobytes() for _, v in got]}
-
-    found = map_arrow(sample, run, "rating double, i binary, v binary", rows=128).limit(max_rows).toArrow()
-    rows = [(np.frombuffer(i.as_buffer(), "<u4").astype(np.int64), np.frombuffer(v.as_buffer(), "<f4").astype(float)) for i, v in zip(found["i"], found["v"])]
-    if not rows:
+        out: dict[str, list] = {"id": [], "part": [], "rating": [], "i": [], "v": []}
+        for key, rating, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words = text.split() if rating == lowest else []
+            cuts = [len(words) * k // _PARTS for k in range(_PARTS + 1)]
+            parts = [" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:]) if b - a >= 5]
+            for k, (i, v) in enumerate(features(pa.array([text, *parts]), bits)):
+                for name, value in (("id", key), ("part", k), ("rating", rating), ("i", i.astype("<u4").tobytes()), ("v", v.astype("<f4").tobytes())):
+                    out[name].append(value)
+        return out
+
+    kind = dict(sample.dtypes)["id"]
+    found = map_arrow(sample.select("id", "rating", "text"), run, f"id {kind}, part int, rating double, i binary, v binary", rows=128).toArrow()
+    if not len(found):
         return OrdinalModel([0.0], np.zeros(1 << bits), np.zeros(0), bits)
-    order = sorted(range(len(rows)), key=lambda r: (found["rating"][r].as_py(), len(rows[r][0]), rows[r][0].tobytes()))  # the same sums whatever order rows come in
-    return fit_ordinal([rows[r] for r in order], found["rating"].to_numpy()[order], bits=bits)
+    keys, part, rating = (found[c].to_pylist() for c in ("id", "part", "rating"))
+    vectors = [(np.frombuffer(i.as_buffer(), "<u4").astype(np.int64), np.frombuffer(v.as_buffer(), "<f4").astype(float)) for i, v in zip(found["i"], found["v"])]
+    parts: dict = {}
+    for k, p, x in zip(keys, part, vectors):
+        if p:
+            parts.setdefault(k, []).append(x)
+    order = sorted((r for r in range(len(keys)) if not part[r]), key=lambda r: keys[r])  # the same sums whatever order rows come in
+    rows, given = [vectors[r] for r in order], np.array([rating[r] for r in order])
+    graded = split_lowest(rows, given, [parts.get(keys[r], []) for r in order if rating[r] == given.min()], bits=bits)
+    model = fit_ordinal(rows, graded, bits=bits)
+    model.good = sum(g < min((x for x in set(given.tolist()) if x > given.min()), default=np.inf) for g in model.grades) or 1
+    return model
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: the id, ``expected_grade``, and ``tail`` = P(grade > the lowest), both double.
+    """One row for each row of ``docs``: the id, ``expected_grade``, and ``tail``, the probability of a rating above the lowest, both double.
 
     Texts are read whole; null and empty texts get what the cuts alone give. Null and repeated ids pass; no other column is read.
     """
@@ -161,22 +216,22 @@ def score_quality(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id
 
     def run(batch: pa.RecordBatch) -> dict:
         p = model.proba(features(batch.column(1), model.bits))
-        return {"id": batch.column(0), "expected_grade": pa.array(p @ grades), "tail": pa.array(1 - p[:, 0])}
+        return {"id": batch.column(0), "expected_grade": pa.array(p @ grades), "tail": pa.array(model.tail(p))}
 
     out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, expected_grade double, tail double", rows=256)
     return out.withColumnRenamed("id", id_col)
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """Three graded ratings from ``labels``: 0 for low quality, 1 for good quality but toxic, 2 for good and not toxic (or not known)."""
-    return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("rating"))
-
-
-#: A document is kept when P(grade above the lowest) is at least this.
-KEEP_TAIL = 0.5
+    """Ratings from the quality in ``labels`` alone: 0 for low, 1 for good; toxicity is another operator's."""
+    return labels.where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("rating"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Grade and tail of each row of ``docs`` by a model of its rated rows, and whether it is kept.
+
+    A row for each row, whatever its id; null and empty texts get what the cuts alone give; without labels every tail is 0.
+    """
     out = score_quality(docs, fit_quality(docs, grades(labels)))
     return out.withColumn("keep", F.col("tail") >= KEEP_TAIL)
 
@@ -190,7 +245,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = KEEP_TAI
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                tail = 1 - model.proba(features(part.column(names.index("text")), model.bits))[:, 0]
+                tail = model.tail(model.proba(features(part.column(names.index("text")), model.bits)))
                 yield part.filter(pa.array(tail >= threshold))
 
     return map_batches(docs, run, docs.schema)
