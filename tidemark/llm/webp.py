@@ -1,27 +1,19 @@
-"""Lossless WebP in NumPy: a decoder for the whole format, an encoder with each of its features, and media columns of payloads.
+"""Lossless WebP: a decoder for the whole format and an encoder with each of its features.
 
 Pixels are arrays of unsigned 32-bit ``alpha << 24 | red << 16 | green << 8 | blue``, row by row.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import map_arrow
-from .textvec import text_bytes
 
 # Fixed values of the format.
 _SIGNATURE = 0x2F
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _LITERALS, _LENGTHS, _DISTANCES = 256, 24, 40
-_CACHE_FACTOR = 0x1E35A7BD
+CACHE_FACTOR = 0x1E35A7BD
 _PREDICTOR, _CROSS_COLOUR, _SUBTRACT_GREEN, _PALETTE = range(4)
 _OPAQUE = 0xFF000000
 #: Neighbours named by the distance codes 1 to 120: columns to the left, rows up.
@@ -58,6 +50,11 @@ class BitReader:
         return value & ((1 << n) - 1)
 
 
+    def peek(self, n: int, at: int | None = None) -> int:
+        at = self.at if at is None else at
+        return (int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
+
+
 class BitWriter:
     def __init__(self):
         self.value, self.size, self.parts = 0, 0, []
@@ -71,28 +68,39 @@ class BitWriter:
             self.value >>= 8 * whole
             self.size -= 8 * whole
 
+    @property
+    def length(self) -> int:
+        return 8 * sum(map(len, self.parts)) + self.size
+
+    def append(self, other: BitWriter) -> None:
+        for part in other.parts:
+            self.write(int.from_bytes(part, "little"), 8 * len(part))
+        self.write(other.value, other.size)
+
     def write_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
         """Append many values of up to 60 bits at once: each falls on up to three 32-bit words, whose parts add up."""
-        values, sizes = values.astype(np.uint64), sizes.astype(np.int64)
+        sizes = sizes.astype(np.int64)
         ends = self.size + np.cumsum(sizes)
-        starts = ends - sizes
-        word, shift = starts >> 5, (starts & 31).astype(np.uint64)
-        mask = np.uint64(0xFFFFFFFF)
-        low, high = values & mask, values >> np.uint64(32)
-        a, b = low << shift, high << shift
-        n = int(ends[-1] >> 5) + 4 if len(ends) else 4
-        out = np.bincount(word, weights=(a & mask).astype(float), minlength=n)
-        out += np.bincount(word + 1, weights=((a >> np.uint64(32)) + (b & mask)).astype(float), minlength=n)
-        out += np.bincount(word + 2, weights=(b >> np.uint64(32)).astype(float), minlength=n)
-        total = int(ends[-1]) if len(ends) else self.size
-        self.value |= int.from_bytes(out.astype("<u8").astype("<u4").tobytes(), "little") if len(ends) else 0
-        self.size = total
+        if len(ends):
+            self.value |= int.from_bytes(packed_bits(values.astype(np.uint64), ends - sizes, int(ends[-1] >> 5) + 4).tobytes(), "little")
+            self.size = int(ends[-1])
         self.write(0, 0)
 
     def bytes(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.size + 7) >> 3, "little")
 
 
+def packed_bits(values: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """32-bit words with each value of up to 60 bits at its place: it falls on up to three words, whose parts add up."""
+    word, shift = starts >> 5, (starts & 31).astype(np.uint64)
+    mask = np.uint64(0xFFFFFFFF)
+    a, b = (values & mask) << shift, (values >> np.uint64(32)) << shift
+    out = np.bincount(word, weights=(a & mask).astype(float), minlength=words)
+    out += np.bincount(word + 1, weights=((a >> np.uint64(32)) + (b & mask)).astype(float), minlength=words)
+    out += np.bincount(word + 2, weights=(b >> np.uint64(32)).astype(float), minlength=words)
+    return out.astype("<u8").astype("<u4")
+
+
 # Prefix codes
 
 
@@ -113,7 +121,7 @@ class PrefixCode:
         if len(used) == 0:
             raise WebpError("a prefix code has no symbol")
         if len(used) == 1:
-            self.bits, self.symbol, self.length = 0, used.astype(np.int32), np.zeros(1, np.int32)
+            self.bits, self.symbol, self.length, self.tables = 0, used.astype(np.int32), np.zeros(1, np.int32), {}
             return
         used = used[np.argsort(lengths[used], kind="stable")]
         size = lengths[used]
@@ -124,6 +132,13 @@ class PrefixCode:
         order = _reversed_bits(self.bits)
         self.symbol = np.repeat(used, times).astype(np.int32)[order]
         self.length = np.repeat(size, times).astype(np.int32)[order]
+        self.tables: dict[int, list[int]] = {}
+
+    def table(self, place: int) -> list[int]:
+        """``symbol << place << 4 | length`` for the next bits."""
+        if place not in self.tables:
+            self.tables[place] = ((self.symbol.astype(np.int64) << (place + 4)) | self.length).tolist()
+        return self.tables[place]
 
     def read(self, bits: BitReader) -> int:
         if not self.bits:
@@ -159,28 +174,50 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
-    weight = [int(counts[s]) for s in used]
+    order = used[np.argsort(counts[used], kind="stable")]
+    weight = counts[order].tolist()
     while True:
-        serial = len(weight)
-        parent: dict[int, int] = {}
-        nodes = [(w, i) for i, w in enumerate(weight)]
-        heapq.heapify(nodes)
-        while len(nodes) > 1:
-            a, b = heapq.heappop(nodes), heapq.heappop(nodes)
-            parent[a[1]] = parent[b[1]] = serial
-            heapq.heappush(nodes, (a[0] + b[0], serial))
-            serial += 1
-        level = {serial - 1: 0}
-        for node in range(serial - 2, -1, -1):
-            level[node] = level[parent[node]] + 1
-        depth = [level[i] for i in range(len(weight))]
-        if max(depth) <= limit:
-            lengths[used] = depth
+        depth = _depths(weight)
+        if depth[0] <= limit:
+            lengths[order] = depth
             return lengths
         weight = [(w + 1) // 2 for w in weight]
 
 
-def _read_code(bits: BitReader, size: int) -> PrefixCode:
+def _depths(weight: list[int]) -> list[int]:
+    """Depths of a Huffman tree's leaves, whose weights rise: leaves and joined nodes each wait in order, so the two lightest are at the fronts."""
+    n = len(weight)
+    joined, parent = [], [0] * (2 * n - 1)
+    leaf = node = 0
+    for k in range(n - 1):
+        total = 0
+        for _ in range(2):
+            if leaf < n and (node >= k or weight[leaf] <= joined[node]):
+                total += weight[leaf]
+                parent[leaf] = n + k
+                leaf += 1
+            else:
+                total += joined[node]
+                parent[n + node] = n + k
+                node += 1
+        joined.append(total)
+    level = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        level[k] = level[parent[k]] + 1
+    return level[:n]
+
+
+@lru_cache(maxsize=16)
+def _meta_code(lengths: int, n: int) -> PrefixCode:
+    """The code of codes' lengths, from its own lengths in the order of the format."""
+    meta = bytearray(19)
+    for k in range(n):
+        meta[_LENGTH_ORDER[k]] = lengths >> 3 * k & 7
+    return _prefix_code(bytes(meta))
+
+
+def _read_code(bits: BitReader, size: int) -> tuple[PrefixCode, int]:
+    """A code, and the least size of an alphabet for which the same bits give the same code; beyond any, where the alphabet's end ended it."""
     lengths = np.zeros(size, np.int64)
     if bits.read(1):
         two = bits.read(1)
@@ -188,36 +225,47 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
         if max(symbols) >= size:
             raise WebpError("a symbol exceeds its alphabet")
         lengths[symbols] = 1
-        return _prefix_code(lengths.astype(np.uint8).tobytes())
-    meta = np.zeros(19, np.int64)
-    for k in range(4 + bits.read(4)):
-        meta[_LENGTH_ORDER[k]] = bits.read(3)
-    code = _prefix_code(meta.astype(np.uint8).tobytes())
+        return _prefix_code(lengths.astype(np.uint8).tobytes()), max(symbols) + 1
+    n = 4 + bits.read(4)
+    code = _meta_code(bits.read(3 * n), n)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    # a symbol and its extra bits are 14 bits at most; those of the whole alphabet are taken at once
-    first = bits.at >> 3
-    ahead = int.from_bytes(bits.data[first : first + 4 + 2 * size], "little") >> (bits.at & 7)
-    symbol, length, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1
+    data, first, used = bits.data, bits.at >> 3, bits.at & 7
+    mask = (1 << code.bits) - 1
+    steps = code.table(0)
     found: list[int] = []
-    used, last = 0, 8
+    last, ahead, held = 8, 0, 0
     while len(found) < size and left > 0:
+        if held < 14:  # a symbol and its extra bits
+            first, used = first + (used >> 3), used & 7
+            ahead, held = int.from_bytes(data[first : first + 24], "little") >> used, 192 - used
         left -= 1
-        s, n = symbol[ahead & mask], length[ahead & mask]
+        step = steps[ahead & mask]
+        n = step & 15
+        if step < 256:
+            step >>= 4
+            found.append(step)
+            last = step or last
+        else:
+            ahead >>= n
+            value, least, extra = (last, 3, 2) if step < 272 else (0, 3, 3) if step < 288 else (0, 11, 7)
+            found += [value] * (least + (ahead & ((1 << extra) - 1)))
+            used += n
+            held -= n
+            n = extra
         ahead >>= n
         used += n
-        if s < 16:
-            found.append(s)
-            last = s or last
-            continue
-        value, least, extra = (last, 3, 2) if s == 16 else (0, 3, 3) if s == 17 else (0, 11, 7)
-        found += [value] * (least + (ahead & ((1 << extra) - 1)))
-        ahead >>= extra
-        used += extra
+        held -= n
     if len(found) > size:
         raise WebpError("code lengths run over their alphabet")
-    bits.at += used
+    bits.at = 8 * first + used
     bits.read(0)
-    return _prefix_code(bytes(found) + bytes(size - len(found)))
+    return _prefix_code(bytes(found) + bytes(size - len(found))), len(found) if left == 0 else 1 << 30
+
+
+#: The code in which codes' lengths are written, the same for all: a complete one, fitted to those of prose.
+_META = [2, 6, 6, 4, 4, 4, 4, 4, 4, 4, 4, 5, 6, 6, 7, 7, 6, 4, 4]
+_META_CODES = canonical(np.array(_META)).tolist()
+_META_HEAD = (15 << 1) | sum(_META[s] << (5 + 3 * k) for k, s in enumerate(_LENGTH_ORDER)), 5 + 3 * len(_LENGTH_ORDER)
 
 
 def _write_code(bits: BitWriter, lengths: np.ndarray) -> None:
@@ -230,48 +278,77 @@ def _write_code(bits: BitWriter, lengths: np.ndarray) -> None:
         for s in symbols:
             bits.write(s, 8)
         return
-    bits.write(0, 1)
-    runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    plain = lengths[: used[-1] + 1].tolist()
-    for value, run in groupby(plain):
-        n = len(list(run))
+    runs: list[int] = []  # symbol, extra value << 8, extra bits << 16
+    plain = lengths[: used[-1] + 1]
+    heads = [0, *(np.flatnonzero(plain[1:] != plain[:-1]) + 1).tolist(), len(plain)]
+    for value, begin, end in zip(plain[heads[:-1]].tolist(), heads, heads[1:]):
+        n = end - begin
         if value:
-            runs.append((value, 0, 0))
+            runs.append(value)
             n -= 1
-        while n:
-            if not value and n >= 11:
-                k = min(n, 138)
-                runs.append((18, k - 11, 7))
-            elif n >= 3:
-                k = min(n, 6 if value else 10)
-                runs.append((16, k - 3, 2) if value else (17, k - 3, 3))
-            else:
-                k = 1
-                runs.append((value, 0, 0))
+            while n >= 3:
+                k = min(n, 6)
+                runs.append(16 | (k - 3) << 8 | 2 << 16)
+                n -= k
+        while n >= 3:
+            k = min(n, 138)
+            runs.append(18 | (k - 11) << 8 | 7 << 16 if k >= 11 else 17 | (k - 3) << 8 | 3 << 16)
             n -= k
-    meta = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
-    codes = canonical(meta)
-    n = max(k for k, s in enumerate(_LENGTH_ORDER) if meta[s]) + 1
-    n = max(n, 4)
-    bits.write(n - 4, 4)
-    for s in _LENGTH_ORDER[:n]:
-        bits.write(int(meta[s]), 3)
-    bits.write(1, 1)  # what follows is less than the alphabet
-    width = max(2, (len(runs) - 2).bit_length() + (len(runs) - 2).bit_length() % 2) if len(runs) > 2 else 2
-    bits.write((width - 2) // 2, 3)
-    bits.write(max(len(runs), 2) - 2, width)
-    single = np.count_nonzero(meta) == 1
-    codes, meta = codes.tolist(), meta.tolist()
-    value = size = 0
-    for s, extra, k in runs:
-        if not single:
-            value |= codes[s] << size
-            size += meta[s]
-        value |= extra << size
-        size += k
+        runs += [value] * n
+    value, size = _META_HEAD
+    if len(runs) < 2:
+        runs += [0] * (2 - len(runs))  # past an alphabet's end lengths of 0 say nothing
+    width = max(2, (len(runs) - 2).bit_length() + (len(runs) - 2).bit_length() % 2)
+    value |= (1 | (width - 2) // 2 << 1 | len(runs) - 2 << 4) << size
+    size += 4 + width
+    codes, meta = _META_CODES, _META
+    for r in runs:
+        s = r & 255
+        value |= codes[s] << size
+        size += meta[s]
+        if r > 255:
+            value |= (r >> 8 & 255) << size
+            size += r >> 16
+        if size > 512:
+            bits.write(value, size)
+            value = size = 0
     bits.write(value, size)
 
 
+def _read_codes(bits: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
+    """The codes of a group. Where the bits of a code come again, for an alphabet that has all of its symbols, so does the code."""
+    codes: list[PrefixCode] = []
+    begin = end = told = 0
+    for n in sizes:
+        if codes and told <= n and bits.peek(end - begin) == bits.peek(end - begin, begin):
+            bits.at += end - begin
+            codes.append(codes[-1])
+            continue
+        begin = bits.at
+        code, told = _read_code(bits, n)
+        codes.append(code)
+        end = bits.at
+    return codes
+
+
+def write_counts(bits: BitWriter, counts: np.ndarray, limit: int) -> np.ndarray:
+    """Write the code of symbols with these counts; returns its lengths."""
+    lengths = code_lengths(counts, limit)
+    _write_code(bits, lengths)
+    return lengths
+
+
+def canonical_rows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`canonical` for each row of ``lengths``: the bits a symbol takes, none where it is its row's only one, and its code."""
+    lengths = np.where((lengths > 0).sum(axis=1, keepdims=True) == 1, 0, lengths)
+    order = np.argsort(np.where(lengths > 0, lengths, 99), axis=1, kind="stable")
+    ordered = np.take_along_axis(lengths, order, axis=1)
+    times = np.where(ordered > 0, 1 << (15 - ordered), 0)
+    codes = np.zeros_like(lengths)
+    np.put_along_axis(codes, order, np.where(ordered > 0, _reversed_bits(15)[np.minimum(np.cumsum(times, axis=1) - times, 32767)], 0), axis=1)
+    return lengths, codes
+
+
 def _prefix(value: int) -> tuple[int, int, int]:
     """Prefix code, extra value and extra bits of a length or distance from 1 on."""
     v = value - 1
@@ -296,15 +373,24 @@ def _distance(code: int, width: int) -> int:
     return max(1, dx + dy * width)
 
 
+@lru_cache(maxsize=64)
+def near_names(width: int) -> np.ndarray:
+    """By distance, the first of the codes 1 to 120 that names it, or 0."""
+    names = np.zeros(8 + 7 * width + 1, np.int64)
+    for code in range(len(_NEAR), 0, -1):
+        names[_distance(code, width)] = code
+    return names
+
+
 def _cache_index(pixels: np.ndarray, bits: int) -> np.ndarray:
-    return ((pixels.astype(np.uint64) * np.uint64(_CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+    return ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
 
 
 # Decoding
 
 
 class _Canvas:
-    """Pixels as they come, with the colour cache brought up to date when it is asked."""
+    """Pixels as they come, with the colour cache brought up to date when it is asked: the plain form of ``_decode_loop``."""
 
     def __init__(self, n: int, width: int, cache_bits: int):
         self.pixels = np.zeros(n, np.uint32)
@@ -312,97 +398,168 @@ class _Canvas:
         self.bits, self.cached = cache_bits, 0
         self.cache = np.zeros(1 << cache_bits, np.uint32) if cache_bits else None
 
-    def literals(self, values: np.ndarray) -> None:
-        values = values[: self.n - self.at]
-        self.pixels[self.at : self.at + len(values)] = values
-        self.at += len(values)
+    def literal(self, value: int) -> None:
+        self.pixels[self.at] = value
+        self.at += 1
 
     def from_cache(self, index: int) -> None:
         fresh = self.pixels[self.cached : self.at]
         self.cache[_cache_index(fresh, self.bits)] = fresh  # of equal places the last one stays
         self.cached = self.at
-        self.pixels[self.at] = self.cache[index]
-        self.at += 1
+        self.literal(self.cache[index])
 
     def copy(self, length: int, distance: int) -> None:
         if distance > self.at:
             raise WebpError("a back-reference points before the image")
         length = min(length, self.n - self.at)
         start = self.at - distance
-        if distance >= length:
-            self.pixels[self.at : self.at + length] = self.pixels[start : start + length]
-        else:
-            self.pixels[self.at : self.at + length] = np.resize(self.pixels[start : self.at], length)
+        self.pixels[self.at : self.at + length] = np.resize(self.pixels[start : min(start + length, self.at)], length)
         self.at += length
 
 
-_BLOCK_BITS = 1 << 20
+_WINDOW = 1 << 16
+
+
+def _windows(data: bytes, first: int) -> list[int]:
+    """The 64 bits from each byte on, of ``_WINDOW`` bytes at most; past the end there are zeros."""
+    part = np.zeros(min(_WINDOW, max(len(data) - first, 0)) + 24, np.uint8)
+    own = np.frombuffer(data[first : first + len(part)], np.uint8)
+    part[: len(own)] = own
+    return np.lib.stride_tricks.sliding_window_view(part, 8).copy().view("<u8").ravel().tolist()
 
 
-def _decode_fast(bits: BitReader, canvas: _Canvas, codes: list[PrefixCode]) -> None:
-    """Decode with one group of codes, a block of bits at a time.
+def _decode_loop(bits: BitReader, n: int, width: int, groups: list[list[PrefixCode]], which: np.ndarray | None, block: int, cache_bits: int) -> np.ndarray:
+    """All pixels of an image: one walk along the bits, in which a code's symbol and length are one look at a table.
 
-    What would be decoded is looked up for every bit position of a block at once, and with it where the next pixel would begin; a
-    walk along these links then tells the positions at which pixels do begin.
+    Tables hold ``symbol << 4 | length``; those of red and alpha hold the symbol at its place in a pixel. The group of codes changes
+    only where a row of pixels enters another block.
     """
-    green, red, blue, alpha, far = codes
-    data = np.frombuffer(bits.data, np.uint8)
-    references = bool((green.symbol[green.length > 0 if green.bits else slice(None)] >= _LITERALS).any())
-    lookups = [(c.symbol, c.length, np.int32((1 << c.bits) - 1)) for c in (green, red, blue, alpha)]
-    while canvas.at < canvas.n:
-        first = bits.at >> 3
-        if first > len(data) + 8:
-            raise WebpError("the image data end too early")
-        reach = min(_BLOCK_BITS >> 3, len(data) - first + 16)
-        part = np.zeros(reach + 32, np.uint32)  # a pixel's four codes have 60 bits at most
-        own = data[first : first + reach + 32]
-        part[: len(own)] = own
-        window = part[:-2] | (part[1:-1] << np.uint32(8)) | (part[2:] << np.uint32(16))
-        window = (window[:, None] >> np.arange(8, dtype=np.uint32)).ravel().astype(np.int32)
-        n = 8 * reach
-        place = np.arange(n, dtype=np.int32)
-        ahead, symbols = place, []
-        for symbol, length, mask in lookups:
-            at = window[ahead] & mask
-            symbols.append((symbol, at))
-            ahead = ahead + length[at]
-            if not symbols[1:]:
-                after_green = ahead
-        if references:
-            ahead = np.where(green.symbol[symbols[0][1]] >= _LITERALS, after_green, ahead)
-        link = memoryview(np.ascontiguousarray(ahead))
-        at, starts, most = bits.at - 8 * first, [], canvas.n - canvas.at
-        if not references:
-            if int(sum(c.bits for c in (green, red, blue, alpha))) == 0:
-                alike = [int(c.symbol[0]) for c in (alpha, red, green, blue)]
-                canvas.literals(np.full(most, int.from_bytes(bytes(alike), "big"), np.uint32))
-                return
-            add = starts.append
-            while at < n and most:
-                add(at)
-                at = link[at]
-                most -= 1
-            bits.at = 8 * first + at
-            canvas.literals(_literal(symbols, np.array(starts, np.int64)))
+    data, first = bits.data, bits.at >> 3
+    ahead, limit = _windows(data, first), 8 * _WINDOW
+    p, out, i = bits.at - 8 * first, [], 0
+    add = out.append
+    cache, shift = ([0] * (1 << cache_bits), 32 - cache_bits) if cache_bits else (None, 0)
+    across = -(-width // (1 << block)) if which is not None else 0
+    switch = 0
+    while i < n:
+        if i >= switch:
+            y, x = divmod(i, width)
+            green, red, blue, alpha, far = groups[int(which[(y >> block) * across + (x >> block)]) if which is not None else 0]
+            gs, rs, bs, als, fs = green.table(0), red.table(16), blue.table(0), alpha.table(24), far.table(0)
+            gm, rm, bm, am, fm = ((1 << c.bits) - 1 for c in (green, red, blue, alpha, far))
+            wide = green.bits + red.bits + blue.bits + alpha.bits > 56
+            switch = n if which is None else min(i - x + width, i - x + (((x >> block) + 1) << block))
+        if p >= limit:
+            first, p = first + (p >> 3), p & 7
+            if first > len(data) + 8:
+                raise WebpError("the image data end too early")
+            ahead = _windows(data, first)
+        w = ahead[p >> 3] >> (p & 7)
+        e = gs[w & gm]
+        k = e & 15
+        if e < 4096:  # a literal
+            p += k
+            w >>= k
+            r = rs[w & rm]
+            k = r & 15
+            p += k
+            w >>= k
+            b = bs[w & bm]
+            k = b & 15
+            p += k
+            w = w >> k if not wide else ahead[p >> 3] >> (p & 7)
+            a = als[w & am]
+            p += a & 15
+            pixel = (e >> 4 << 8) | (r >> 4) | (b >> 4) | (a >> 4)
+            add(pixel)
+            i += 1
+            if cache:
+                cache[(pixel * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = pixel
+            continue
+        p += k
+        s = (e >> 4) - _LITERALS
+        if s >= _LENGTHS:
+            pixel = cache[s - _LENGTHS]
+            add(pixel)
+            i += 1
+            cache[(pixel * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = pixel
             continue
-        is_literal = memoryview(np.ascontiguousarray(green.symbol[symbols[0][1]] < _LITERALS))
-        while at < n and canvas.at + len(starts) < canvas.n:
-            if is_literal[at]:
-                starts.append(at)
-                at = link[at]
-                continue
-            canvas.literals(_literal(symbols, np.array(starts, np.int64)))
-            starts = []
-            if canvas.at < canvas.n:
-                bits.at = 8 * first + link[at]
-                _refer(bits, canvas, int(green.symbol[symbols[0][1][at]]), far)
-                at = bits.at - 8 * first
-        bits.at = 8 * first + at
-        canvas.literals(_literal(symbols, np.array(starts, np.int64)))
-
-
-def _literal(symbols: list[tuple[np.ndarray, np.ndarray]], starts: np.ndarray) -> np.ndarray:
-    green, red, blue, alpha = (symbol[at[starts]].astype(np.uint32) for symbol, at in symbols)
+        w >>= k
+        if s >= 4:
+            extra = (s - 2) >> 1
+            s = ((2 + (s & 1)) << extra) + (w & ((1 << extra) - 1))
+            p += extra
+            w = ahead[p >> 3] >> (p & 7)
+        length = s + 1
+        e = fs[w & fm]
+        k = e & 15
+        p += k
+        w >>= k
+        s = e >> 4
+        if s >= 4:
+            extra = (s - 2) >> 1
+            s = ((2 + (s & 1)) << extra) + (w & ((1 << extra) - 1))
+            p += extra
+        distance = _distance(s + 1, width)
+        if distance > i:
+            raise WebpError("a back-reference points before the image")
+        length = min(length, n - i)
+        if distance >= length:
+            fresh = out[i - distance : i - distance + length]
+        else:
+            own = out[i - distance :]
+            fresh = (own * (length // distance + 1))[:length]
+        out += fresh
+        i += length
+        if cache:
+            for pixel in fresh:
+                cache[(pixel * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = pixel
+    bits.at = 8 * first + p
+    return np.array(out, np.uint32)
+
+
+_AT_ONCE = 12
+
+
+def _decode_alike(bits: BitReader, n: int, code: PrefixCode) -> np.ndarray:
+    """Literals only, to the end of the data, with one code for all channels: up to three symbols by one look at a table."""
+    ahead_of = np.arange(1 << _AT_ONCE)
+    mask = (1 << code.bits) - 1
+    symbols, fits, total = np.zeros((len(ahead_of), 3), np.uint8), np.zeros((len(ahead_of), 3), bool), np.zeros(len(ahead_of), np.int64)
+    for k in range(3):
+        at = (ahead_of >> total) & mask
+        size = code.length[at]
+        fits[:, k] = (fits[:, k - 1] if k else True) & (total + size <= _AT_ONCE)
+        symbols[:, k] = code.symbol[at]
+        total += np.where(fits[:, k], size, 0)
+    lengths, most = total.astype(np.uint8).tobytes(), (1 << _AT_ONCE) - 1
+    data, first = bits.data, bits.at >> 3
+    p, out = bits.at - 8 * first, []
+    add = out.append
+    while first < len(data):
+        ahead = _windows(data, first)
+        end = min(8 * (len(data) - first), 8 * _WINDOW)
+        while p < end:
+            w = ahead[p >> 3] >> (p & 7)
+            i = w & most
+            add(i)
+            k = lengths[i]
+            w >>= k
+            i = w & most
+            add(i)
+            j = lengths[i]
+            w >>= j
+            i = w & most
+            add(i)
+            k += j + lengths[i]
+            p += k
+        first, p = first + (p >> 3), p & 7
+    looked = np.array(out, np.int64)
+    values = symbols[looked][fits[looked]]
+    if len(values) < 4 * n:
+        raise WebpError("the image data end too early")
+    green, red, blue, alpha = values[: 4 * n].reshape(-1, 4).astype(np.uint32).T
+    bits.at = 8 * len(data)
     return (alpha << np.uint32(24)) | (red << np.uint32(16)) | (green << np.uint32(8)) | blue
 
 
@@ -425,7 +582,7 @@ def _decode_by_pixel(bits: BitReader, canvas: _Canvas, groups: list[list[PrefixC
             _refer(bits, canvas, s, far)
             continue
         r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-        canvas.literals(np.array([a << 24 | r << 16 | s << 8 | b], np.uint32))
+        canvas.literal(a << 24 | r << 16 | s << 8 | b)
 
 
 def _decode_image(bits: BitReader, width: int, height: int, *, main: bool = False, by_pixel: bool = False) -> np.ndarray:
@@ -442,15 +599,18 @@ def _decode_image(bits: BitReader, width: int, height: int, *, main: bool = Fals
         n_groups = int(which.max()) + 1
     cache = 1 << cache_bits if cache_bits else 0
     sizes = (_LITERALS + _LENGTHS + cache, 256, 256, 256, _DISTANCES)
-    groups = [[_read_code(bits, n) for n in sizes] for _ in range(n_groups)]
-    canvas = _Canvas(width * height, width, cache_bits)
-    if which is None and not by_pixel:
-        _decode_fast(bits, canvas, groups[0])
-    else:
+    groups = [_read_codes(bits, sizes) for _ in range(n_groups)]
+    if by_pixel:
+        canvas = _Canvas(width * height, width, cache_bits)
         _decode_by_pixel(bits, canvas, groups, which, block)
+        pixels = canvas.pixels
+    elif main and which is None and not cache_bits and all(c is groups[0][0] for c in groups[0][:4]) and 0 < groups[0][0].bits <= _AT_ONCE:
+        pixels = _decode_alike(bits, width * height, groups[0][0])
+    else:
+        pixels = _decode_loop(bits, width * height, width, groups, which, block, cache_bits)
     if bits.at > 8 * len(bits.data):
         raise WebpError("the image data end too early")
-    return canvas.pixels
+    return pixels
 
 
 def decode(data: bytes, *, by_pixel: bool = False) -> np.ndarray:
@@ -480,7 +640,7 @@ def decode(data: bytes, *, by_pixel: bool = False) -> np.ndarray:
         else:
             n = bits.read(8) + 1
             table = np.cumsum(_channels(_decode_image(bits, n, 1, by_pixel=by_pixel)), axis=0, dtype=np.uint8)
-            pack = _packing(n)
+            pack = packing(n)
             transforms.append((kind, pack, width, table))
             width = -(-width // (1 << pack))
     pixels = _decode_image(bits, width, height, main=True, by_pixel=by_pixel)
@@ -505,7 +665,7 @@ def _channels(pixels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pixels.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]])
 
 
-def _packing(n: int) -> int:
+def packing(n: int) -> int:
     return 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
 
 
@@ -581,19 +741,35 @@ def _guess(mode: int, left, top, right, corner):
 
 
 def _unpredict(image: np.ndarray, block: int, modes: np.ndarray) -> np.ndarray:
+    """Undo prediction: by running sums where one mode that looks only left or only up holds throughout, else along fronts of pixels.
+
+    A pixel needs those to its left and, in the row above, up to one to its right; so all pixels with the same ``x + 2 * y`` can be
+    done together.
+    """
     height, width, _ = image.shape
-    mode = _spread(((modes >> np.uint32(8)) & np.uint32(15)).astype(np.int64), block, height, width)
-    out = image.astype(np.int64)
-    out[0, 0] = (out[0, 0] + [0, 0, 0, 255]) & 255
-    out[0] = np.cumsum(out[0], axis=0) & 255  # the first row from the left
-    flat = out.reshape(-1, 4)
-    for y in range(1, height):
-        base = y * width
-        flat[base] = (flat[base] + flat[base - width]) & 255  # the first column from above
-        for x in range(1, width):
-            i = base + x
-            flat[i] = (flat[i] + _guess(int(mode[y, x]), flat[i - 1], flat[i - width], flat[i - width + 1], flat[i - width - 1])) & 255
-    return out.astype(np.uint8)
+    named = ((modes >> np.uint32(8)) & np.uint32(15)).astype(np.int64)
+    out = image.copy()
+    out[:1, 0, 3] += 255
+    out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)  # the first row from the left
+    out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)  # the first column from above
+    if (named == named[0]).all() and named[0] in (0, 1, 2):
+        if named[0] == 1:
+            return np.cumsum(out, axis=1, dtype=np.uint8) if height == 1 else np.concatenate([out[:1], np.cumsum(out[1:], axis=1, dtype=np.uint8)])
+        if named[0] == 2:
+            return np.concatenate([out[:, :1], np.cumsum(out[:, 1:], axis=0, dtype=np.uint8)], axis=1)
+        out[1:, 1:, 3] += 255
+        return out
+    mode = _spread(named, block, height, width)
+    flat, mode = out.astype(np.int64).reshape(-1, 4), mode.ravel()
+    for front in range(3, width + 2 * height):
+        y = np.arange(max(1, (front - width) // 2 + 1), min(height - 1, (front - 1) // 2) + 1)
+        i = y * width + front - 2 * y
+        if not len(i):
+            continue
+        for m in np.unique(mode[i]):
+            at = i[mode[i] == m]
+            flat[at] = (flat[at] + _guess(int(m), flat[at - 1], flat[at - width], flat[at - width + 1], flat[at - width - 1])) & 255
+    return flat.reshape(image.shape).astype(np.uint8)
 
 
 # Encoding
@@ -748,7 +924,7 @@ def encode(
         bits.write(_PALETTE, 2)
         bits.write(len(colours) - 1, 8)
         _encode_image(bits, _argb(np.diff(colours, axis=0, prepend=np.zeros((1, 4), np.uint8))), len(colours))
-        pack = _packing(len(colours))
+        pack = packing(len(colours))
         index = index.reshape(height, width)
         if pack:
             depth, each = 8 >> pack, 1 << pack
@@ -782,105 +958,36 @@ def encode(
         image[..., 2] -= image[..., 1]
     bits.write(0, 1)
     _encode_image(bits, _argb(image), width, cache_bits=cache_bits, references=references, main=True, group_block=group_block)
-    body = bytes([_SIGNATURE]) + bits.bytes()
-    padded = body + b"\0" * (len(body) & 1)
-    return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
-
-
-# Media columns
-
-UNIT = 64
-_SIDE = 1 << 14
+    return file_of(bits.bytes())
 
 
-def store_payload(payload: bytes) -> bytes:
-    """A payload of a positive multiple of 64 bytes as an image of 16 or more pixels a row, four bytes a pixel.
-
-    Payloads over a megabyte have wider rows; a last row that isn't full ends in zeros, of which ``load_payload`` is told the number
-    by the payload's size.
-    """
-    pixels = len(payload) // 4
-    width = 16 * -(-pixels // (16 * _SIDE))
-    if width > _SIDE:
-        raise ValueError("a payload has at most a gibibyte")
-    height = -(-pixels // width)
-    samples = np.zeros(height * width * 4, np.uint8)
-    samples[: len(payload)] = np.frombuffer(payload, np.uint8)
-    return encode(samples.reshape(height, width, 4))
-
-
-def load_payload(media: bytes, size: int) -> bytes:
-    return decode(media).tobytes()[:size]
-
+def file_of(stream: bytes) -> bytes:
+    """The file around an image's bits."""
+    body = bytes([_SIGNATURE]) + stream
+    padded = body + b"\0" * (len(body) & 1)
+    return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
-def media_columns(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: the id, ``n_bytes`` of its UTF-8 text, ``payload_bytes`` (zeros added up to a positive multiple of 64), ``media``.
 
-    Null and empty texts are 64 zeros; null and repeated ids pass; only the two columns are read. A row is encoded by itself.
-    """
-    kind = dict(df.select(id_col).dtypes)[id_col]
-
-    def run(batch: pa.RecordBatch) -> dict:
-        data, offsets = text_bytes(batch.column(1))
-        sizes = np.diff(offsets)
-        padded = np.maximum(-(-sizes // UNIT) * UNIT, UNIT)
-        known: dict[bytes, bytes] = {}
-        media = []
-        for a, n, p in zip(offsets, sizes, padded):
-            payload = data[a : a + n].tobytes() + b"\0" * int(p - n)
-            if payload not in known:
-                known[payload] = store_payload(payload)
-            media.append(known[payload])
-        return {"id": batch.column(0), "n_bytes": pa.array(sizes), "payload_bytes": pa.array(padded), "media": media}
-
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(source, run, f"id {kind}, n_bytes bigint, payload_bytes bigint, media binary", rows=128).withColumnRenamed("id", id_col)
-
-
-def read_media(df: DataFrame, *, media_col: str = "media", size_col: str = "payload_bytes") -> DataFrame:
-    """``df`` without the media but with ``payload`` as decoded and ``feature``, computed from the samples read back.
-
-    The feature is the samples' mean, standard deviation, entropy in bits and mean step from one to the next. Null media or sizes
-    give null for both.
-    """
-    names = [c for c in df.columns if c not in (media_col, "payload", "feature")]
-    kinds = dict(df.dtypes)
-    source = df.select(*names, F.col(media_col).alias("media"), F.col(size_col).alias("size"))
-
-    def run(batch: pa.RecordBatch) -> dict:
-        payloads, features = [], []
-        known: dict[tuple, tuple] = {}
-        for media, size in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
-            if media is None or size is None:
-                payloads.append(None)
-                features.append(None)
-                continue
-            if (media, size) not in known:
-                payload = load_payload(media, size)
-                known[media, size] = payload, sample_feature(np.frombuffer(payload, np.uint8))
-            payload, feature = known[media, size]
-            payloads.append(payload)
-            features.append(feature)
-        return {**{c: batch.column(k) for k, c in enumerate(names)}, "payload": payloads, "feature": features}
-
-    return map_arrow(source, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "payload binary", "feature string"]), rows=128)
-
-
-def sample_feature(samples: np.ndarray) -> str:
-    counts = np.bincount(samples, minlength=256)
-    share = counts[counts > 0] / len(samples)
-    values = np.arange(256)
-    mean = float((counts * values).sum() / len(samples))
-    spread = float(np.sqrt(max((counts * (values - mean) ** 2).sum() / len(samples), 0)))
-    step = float(np.abs(np.diff(samples.astype(np.int64))).sum() / max(len(samples) - 1, 1))
-    return f"{mean:.4f}|{spread:.4f}|{float(-(share * np.log2(share)).sum()) + 0.0:.4f}|{step:.4f}"
-
-
-def media_report(docs: DataFrame) -> DataFrame:
-    """Sizes, checksums and features of the stored form of ``documents`` and of what is read back from it."""
-    stored = media_columns(docs).select("*", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    back = read_media(stored)
-    return back.select(
-        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr(f"substring(payload, -{UNIT}, {UNIT})")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
-    )
+def write_plan(bits: BitWriter, plan: tuple[str, np.ndarray | None], width: int, height: int, block: int) -> None:
+    """What says that a whole image was transformed: plain, subtract_green, cross_colour with three factors, left, up, or palette with its colours."""
+    name, own = plan
+    if name == "plain":
+        return
+    bits.write(1, 1)
+    blocks = -(-width // (1 << block)), -(-height // (1 << block))
+    if name == "subtract_green":
+        bits.write(_SUBTRACT_GREEN, 2)
+    elif name == "palette":
+        bits.write(_PALETTE, 2)
+        bits.write(len(own) - 1, 8)
+        _encode_image(bits, _argb(np.diff(_channels(own), axis=0, prepend=np.zeros((1, 4), np.uint8))), len(own))
+    elif name == "cross_colour":
+        bits.write(_CROSS_COLOUR, 2)
+        bits.write(block - 2, 3)
+        factors = np.append(own, 255).astype(np.int64).astype(np.uint8)
+        _encode_image(bits, _argb(np.broadcast_to(factors, (blocks[0] * blocks[1], 4))), blocks[0])
+    else:
+        bits.write(_PREDICTOR, 2)
+        bits.write(block - 2, 3)
+        mode = {"left": 1, "up": 2}[name]
+        _encode_image(bits, np.full(blocks[0] * blocks[1], (mode << 8) | _OPAQUE, np.uint32), blocks[0])
