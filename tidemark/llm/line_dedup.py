@@ -33,10 +33,16 @@ def line_key(line):
 
 
 def _lines(df: DataFrame, rules: SpreadRules) -> DataFrame:
-    """``(row, site, h, g, first, n)``: each row's distinct long lines, once."""
+    """``(row, own, site, h, g)``: each row's distinct long lines, once."""
     trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x))
     keys = F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.length(x) >= rules.min_chars), line_key))
-    return df.select("row", "site", F.explode(keys).alias("k")).select("row", "site", "k.h", "k.g")
+    return df.select("row", "own", "site", F.explode(keys).alias("k")).select("row", "own", "site", "k.h", "k.g")
+
+
+def _source(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """Rows ``(row, own, text, site)``; a row without an id is known by the hash of its text, ``own``, so that such rows do not meet in one place."""
+    own = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
+    return df.select(F.col(id_col).alias("row"), own.alias("own"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
 
 
 def line_spread(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", rules: SpreadRules = SpreadRules()) -> DataFrame:
@@ -46,7 +52,7 @@ def line_spread(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Lines near the threshold (``SpreadRules.margin``) are then counted exactly from distinct (line, site) pairs.
     A null site counts as no site; a null text has no lines; a null id is never a keeper where another row has the line.
     """
-    source = df.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
+    source = _source(df, id_col, text_col, site_col)
     lines = _lines(source, rules)
     sketches = materialize(
         lines.groupBy("h", "g")
@@ -76,15 +82,16 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     text has one empty line. Should ``df`` have columns named ``n_lines`` or ``n_removed``, they are replaced.
     """
     spread = materialize(line_spread(df, id_col=id_col, text_col=text_col, site_col=site_col, rules=rules), "line-boilerplate")
-    source = df.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
+    source = _source(df, id_col, text_col, site_col)
     hits = _lines(source, rules).join(small_side(spread.select("h", "g", "keeper")), ["h", "g"])
-    hits = hits.groupBy(F.col("row").alias("hit_row")).agg(
+    hits = hits.groupBy(F.col("row").alias("hit_row"), F.col("own").alias("hit_own")).agg(
         F.collect_set(F.struct("h", "g")).alias("hit_keys"), F.collect_set(F.when(F.col("row") == F.col("keeper"), F.struct("h", "g"))).alias("kept_keys")
     )
     drop = [c for c in ("n_lines", "n_removed") if c in df.columns]
     names = [c for c in df.columns if c not in drop]
     base = df.select(F.struct(*names).alias("whole"))  # so no name of theirs meets one of ours
-    both = base.join(hits, base["whole"][id_col].eqNullSafe(hits["hit_row"]), "left")
+    own = F.when(base["whole"][id_col].isNull(), F.xxhash64(base["whole"][text_col]))
+    both = base.join(hits, base["whole"][id_col].eqNullSafe(hits["hit_row"]) & own.eqNullSafe(hits["hit_own"]), "left")
     text = F.col("whole")[text_col]
     parts = F.split(text, "\n", -1)
     keys = F.transform(parts, lambda x: F.when(F.length(F.btrim(x)) >= rules.min_chars, line_key(F.btrim(x))))
