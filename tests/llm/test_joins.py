@@ -19,6 +19,20 @@ def test_query_equals_sql(spark, tiny, name):
     assert_same(queries.queries()[name](spark, tiny), queries.oracle_sql()[name], tiny)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql_without_broadcasts(spark, tiny, name, monkeypatch):
+    """Sides too large to broadcast are shuffled, with the same rows."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert_same(queries.queries()[name](spark, tiny), queries.oracle_sql()[name], tiny)
+
+
+def test_join_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = near_copies(11)
+    got = ngram_join.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 85)
+
+
 def test_rare_sites_are_counted_exactly(spark):
     """Lines on as many sites as the threshold, one fewer and many more."""
     rows = [(100 * n + s, f"a line that is on {n} sites", f"site {s}") for n in (1, 4, 5, 6, 300) for s in range(n)] * 2
@@ -95,7 +109,10 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("rules", [ngram_join.JoinRules(), ngram_join.JoinRules(n=5, percent=80, tile=900), ngram_join.JoinRules(n=2, percent=60, bitmap_words=1)])
+@pytest.mark.parametrize("rules", [
+    ngram_join.JoinRules(), ngram_join.JoinRules(n=5, percent=80, tile=900), ngram_join.JoinRules(n=2, percent=60, bitmap_words=1),
+    ngram_join.JoinRules(sieve=0, tile=900), ngram_join.JoinRules(sieve=1500, tile=300),
+])
 def test_join_equals_brute_force(spark, rules):
     rows = near_copies(rules.n)
     got = ngram_join.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), rules=rules).collect()
@@ -157,5 +174,9 @@ def test_materialized_tables_can_be_discarded(spark):
     df = common.materialize(spark.range(5), "five")
     files = df.inputFiles()
     assert df.count() == 5 and common.discard(spark) == 1 and common.discard(spark) == 0
+    common.materialize(spark.range(1), "before")
+    mark = common.written()
+    kept = [common.materialize(spark.range(k), "kept") for k in (2, 3)][1]
+    assert common.discard(spark, since=mark, keep=1) == 1 and kept.count() == 3 and common.written() == mark + 1 and common.discard(spark) == 2
     with pytest.raises(Exception, match="(?i)not exist|FILE_NOT|PATH"):
         spark.read.parquet(files[0]).count()

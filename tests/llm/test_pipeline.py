@@ -59,3 +59,16 @@ def test_decontamination_stage(spark, tiny):
     sets = [grams(t) for t in items]
     want = {r.doc_id for r in docs.collect() if not any(len(grams(r.text) & s) >= 0.8 * len(s) for s in sets)}
     assert {r.doc_id for r in STAGES["benchmark decontamination"](spark, docs, tiny).collect()} == want
+
+
+def test_stages_bear_edges(spark, tiny, edges, nothing):
+    """Nulls, empty, repeated and very long texts, clashing columns, and no rows, through each stage by itself and all in turn."""
+    for docs in (edges, nothing, edges.select(*corpus_pipeline.COLUMNS)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, tiny)
+            assert out.columns == list(corpus_pipeline.COLUMNS), name
+            assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}, name
+        docs = docs.select(*corpus_pipeline.COLUMNS)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, tiny)
+        docs.count()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,20 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    path = spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    path = tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+from ..session import shared_folder, ship_package
 
 
 _written: list[str] = []
@@ -36,7 +22,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files stay, as later results may read them, until :func:`discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -87,13 +73,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def discard(spark: SparkSession) -> int:
-    """Delete all tables that this process has materialized; results not yet written that read them are lost. Returns their number."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables this process has materialized and not discarded."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that this process has materialized, from number ``since`` on and but for the last ``keep``; results not yet written that read them are lost.
+
+    Returns how many went.
+    """
+    gone = _written[since : len(_written) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+        _written.remove(name)
+    return len(gone)
 
 
 #: A join side of at most so many rows of a few numbers is broadcast (some 20 MB); a larger one is shuffled.
