@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, line_dedup, ngram_join, packing, quality
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,10 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage gives is written and read again before the next."""
+    """All stages over ``documents``; what a stage gives is written and read again before the next, and then what it was made of goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = written()
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{at}")
+            discard(spark, since=begun, keep=1)
     return docs
