@@ -104,3 +104,15 @@ def test_filter_rows(spark):
     back = filters.filter_rows(filters.serialize_filters(built))
     assert {r.filter_index: bytes(r.filter) for r in back.collect()} == {r.filter_index: bytes(r.filter) for r in built.collect()}
     assert filters.pruned_lookup(rows, back.select("filter_index", "filter"), rows).count() == 40
+
+
+def test_filters_of_groups(spark):
+    """Filters built many to a batch equal those built one by one, for any number of groups, and null keys count for nothing."""
+    rows = [(g, bytearray(le32(g * 100 + i))) for g in range(40) for i in range(g % 7 + 1)] + [(3, None), (99, None)]
+    df = spark.createDataFrame(rows, "g long, key binary")
+    want = {}
+    for g, k in rows:
+        want.setdefault(g, []).extend([bytes(k)] if k is not None else [])
+    got = {r.g: bytes(r["filter"]) for r in filters.bloom_filters(df.repartition(5), "g", "key").collect()}
+    assert got == {g: filters.bloom_bytes(keys) for g, keys in want.items()}
+    assert filters.bloom_filters(df.limit(0), "g", "key").count() == 0

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .codec import byte_at, little_endian
-from .text import let
+from ..session import ship_package
+from .codec import byte_at
 
 # The hash's factor, the seed for Bloom filters, CRC-32C's reflected polynomial, the mask's offset.
 HASH_FACTOR = 0xC6A4A793
@@ -23,30 +24,23 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _times_factor(h: Column) -> Column:
-    """``h * HASH_FACTOR`` modulo 2**32 without overflowing 64 bits: the upper half of ``h`` counts by its lower 16 product bits."""
-    low = h.bitwiseAND(0xFFFF) * F.lit(HASH_FACTOR)
-    high = F.shiftright(h, 16) * F.lit(HASH_FACTOR)
-    return (low + F.shiftleft(high.bitwiseAND(0xFFFF), 16)).bitwiseAND(_32)
-
-
 def hash32(data: Column | str, seed: int = BLOOM_SEED) -> Column:
-    """Hash of a binary column, as a BIGINT in 0..2**32-1."""
-    data = _column(data).cast("binary")
-    n = F.length(data)
-    whole = F.floor(n / 4).cast("int")
-
-    def word(h: Column, i: Column) -> Column:
-        mixed = _times_factor((h + little_endian(F.substring(data, i * 4 + 1, F.lit(4)), 4)).bitwiseAND(_32))
-        return let(mixed, lambda m: m.bitwiseXOR(F.shiftright(m, 16)))
-
-    def rest(h: Column) -> Column:
-        last = _times_factor((h + little_endian(F.substring(data, whole * 4 + 1, F.lit(3)), 3)).bitwiseAND(_32))
-        return let(last, lambda m: m.bitwiseXOR(F.shiftright(m, 24)))
-
-    start = F.lit(seed & _32).bitwiseXOR(_times_factor(n.cast("long")))
-    words = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(words, start.cast("long"), word, lambda h: F.when(n % 4 == 0, h).otherwise(rest(h)))
+    """Hash of a binary column, as a BIGINT in 0..2**32-1; null of null.
+
+    In Arrow batches, keys of one length together: products modulo 2**32 have no JVM expression that doesn't go byte by byte.
+    """
+
+    @F.pandas_udf("bigint")
+    def hashed(keys: pd.Series) -> pd.Series:
+        given = keys.notna().to_numpy()
+        out = pd.array(np.zeros(len(keys), np.int64), dtype="Int64")
+        out[given] = hash32_many([bytes(k) for k in keys[given]], seed).astype(np.int64)
+        out[~given] = pd.NA
+        return pd.Series(out)
+
+    if session := SparkSession.getActiveSession():
+        ship_package(session)
+    return hashed(_column(data).cast("binary"))
 
 
 def hash32_many(keys: list[bytes], seed: int = BLOOM_SEED) -> np.ndarray:

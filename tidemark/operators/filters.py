@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import byte_at, decode_fixed32, fixed32
-from ..functions.hashing import hash32, hash32_many
+from ..functions.hashing import hash32_many
 from ..functions.text import let
+from ..session import ship_package
 
 #: One filter for each so many bytes of data.
 SPAN_BITS = 11
@@ -46,22 +48,65 @@ def bloom_filter(bits_per_key: int = 10) -> Callable[[Column | str], Column]:
     return build
 
 
-def bloom_may_match(key: Column | str, filter_: Column | str) -> Column:
-    """False only if the key was not added. A filter under two bytes holds nothing; one of over 30 probes is of an unknown kind and holds all."""
-    filter_ = F.col(filter_) if isinstance(filter_, str) else filter_
-    size = (F.length(filter_) - 1).cast("long") * 8
-    k = byte_at(filter_, F.length(filter_) - 1)
-
-    def hit(h: Column, j: Column) -> Column:
-        step = F.shiftright(h, 17).bitwiseOR(F.shiftleft(h, 15)).bitwiseAND(0xFFFFFFFF)
-        at = (h + j * step).bitwiseAND(0xFFFFFFFF) % size
-        return let(at, lambda a: F.call_function("shiftright", byte_at(filter_, F.floor(a / 8).cast("int")), (a % 8).cast("int")).bitwiseAND(1) == 1)
+def bloom_matches(keys: list[bytes], data: bytes) -> np.ndarray:
+    """Which of ``keys`` a filter may hold."""
+    k = data[-1] if len(data) > 1 else 0
+    if len(data) < 2 or not 1 <= k <= _MOST_PROBES:
+        return np.full(len(keys), len(data) > 1)
+    bits = np.unpackbits(np.frombuffer(data[:-1], np.uint8), bitorder="little")
+    first = hash32_many(keys)
+    step = (first >> np.uint32(17)) | (first << np.uint32(15))
+    return bits[(first[:, None] + step[:, None] * np.arange(k, dtype=np.uint32)) % np.uint32(len(bits))].all(axis=1)
 
-    def all_hit(h: Column) -> Column:
-        probes = F.sequence(F.lit(0).cast("long"), k - 1)
-        return F.forall(probes, lambda j: hit(h, j))
 
-    return F.when(F.length(filter_) < 2, False).when((k > _MOST_PROBES) | (k < 1), True).otherwise(let(hash32(key), all_hit))
+def bloom_may_match(key: Column | str, filter_: Column | str) -> Column:
+    """False only if the key was not added. A filter under two bytes holds nothing; one of over 30 probes is of an unknown kind and holds all; so does none."""
+
+    @F.pandas_udf("boolean")
+    def match(keys: pd.Series, filters: pd.Series) -> pd.Series:
+        rows: dict[bytes | None, list[int]] = {}
+        for i, f in enumerate(filters):
+            rows.setdefault(None if f is None else bytes(f), []).append(i)
+        out, held = np.ones(len(keys), bool), [b"" if k is None else bytes(k) for k in keys]
+        for f, at in rows.items():
+            if f is not None:
+                out[at] = bloom_matches([held[i] for i in at], f)
+        return pd.Series(out)
+
+    if session := SparkSession.getActiveSession():
+        ship_package(session)
+    return match(key, filter_)
+
+
+def bloom_filters(rows: DataFrame, group_col: str, key_col: str, bits_per_key: int = 10) -> DataFrame:
+    """``(group_col, filter)``: the filter of each group of binary keys. Groups, which are stretches of data and so bounded, come sorted and are built many to a batch."""
+    kind = dict(rows.dtypes)[group_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], batch.schema.field(0).type), pa.array([f for _, f in done], pa.binary())], names=[group_col, "filter"])
+
+        held: list[bytes] = []
+        done: list[tuple] = []
+        now = batch = None
+        begun = False
+        for batch in batches:
+            for group, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if begun and group != now:
+                    done.append((now, bloom_bytes(held, bits_per_key)))
+                    held = []
+                now, begun = group, True
+                if key is not None:
+                    held.append(bytes(key))
+            if done:
+                yield out()
+                done = []
+        if begun:
+            done = [(now, bloom_bytes(held, bits_per_key))]
+            yield out()
+
+    ship_package(rows.sparkSession)
+    return rows.select(group_col, key_col).repartition(group_col).sortWithinPartitions(group_col).mapInArrow(run, f"`{group_col}` {kind}, filter binary")
 
 
 def block_filters(df: DataFrame, *, offset_col: str = "block_offset", key_col: str = "key", build: Callable[[Column | str], Column] | None = None) -> DataFrame:
@@ -70,7 +115,7 @@ def block_filters(df: DataFrame, *, offset_col: str = "block_offset", key_col: s
     ``build`` is any aggregate from keys to bytes; by default a Bloom filter of ten bits a key.
     """
     rows = df.select(F.floor(F.col(offset_col) / SPAN).cast("long").alias("filter_index"), F.col(key_col).alias("key"))
-    built = rows.groupBy("filter_index").agg((build or bloom_filter())("key").alias("filter"))
+    built = rows.groupBy("filter_index").agg(build("key").alias("filter")) if build else bloom_filters(rows, "filter_index", "key")
     last = rows.agg(F.max("filter_index").alias("last")).where("last is not null")
     every = last.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("filter_index"))
     return every.join(built, "filter_index", "left").select("filter_index", F.coalesce("filter", F.lit(b"")).alias("filter"))
