@@ -161,7 +161,7 @@ def pack_documents(
         encode = bpe_tokenizer(tokenizer).encode
         held = []
         for batch in batches:
-            for part in slices(batch, 1, rows=2048):
+            for part in slices(batch, 1, rows=2048, size=1 << 20):
                 for key, got in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     ids = np.append(got, np.uint32(end_id))
                     held += split_item(Item((key, len(ids)), 0, ids), limits)
@@ -233,7 +233,7 @@ def pack_conversations(
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = bpe_tokenizer(tokenizer).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for cut in slices(batch, 2):
+            for cut in slices(batch, 2, size=1 << 20):
                 ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encode(cut.column(2))]
                 columns = [pa.array([part] * len(ids), pa.int32()), pa.array(range(at, at + len(ids)), pa.int64()), cut.column(0), cut.column(1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["part", "at", "id", "bears", "n", "ids"])

@@ -73,7 +73,7 @@ class BpeTokenizer:
     file's own, like ``<|endoftext|>``, or white space outside ASCII are encoded whole.
     """
 
-    def __init__(self, name: str = TOKENIZER, most: int = 1_500_000):
+    def __init__(self, name: str = TOKENIZER, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
