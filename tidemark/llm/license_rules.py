@@ -197,6 +197,45 @@ _WRITTEN = r"""
 0.75|copyright-notice|copyright|\bcopyright~(?:\(c\)~|©~?)?(?:19|20)\d\d
 0.75|copyright-notice|copyright|\(c\)~copyright\b|©~copyright\b
 0.70|copyright-notice|©|©~?(?:19|20)\d\d
+0.95|mit-cmu|cmu|\bcmu~licen[cs]e
+0.95|hpnd|historical|historical~permission~notice~and~disclaimer
+0.95|ntp|ntp|\bntp~licen[cs]e
+0.95|icu|icu|\bicu~licen[cs]e
+0.95|unicode|unicode|unicode~(?:data~files~and~software~)?licen[cs]e
+0.95|w3c|w3c|\bw3c~software~(?:notice~and~)?(?:document~)?licen[cs]e
+0.95|ijg|jpeg|independent~jpeg~group(?:'s)?~(?:software~)?licen[cs]e
+0.95|libtiff|libtiff|\blibtiff~licen[cs]e
+0.95|ftl|freetype|freetype~(?:project~)?licen[cs]e
+0.95|imagemagick|imagemagick|imagemagick~licen[cs]e
+0.95|oldap|openldap|openldap~public~licen[cs]e
+0.95|net-snmp|snmp|net-snmp~licen[cs]e
+0.95|zpl|zope|zope~public~licen[cs]e
+0.95|sissl|industry|sun~industry~standards~source~licen[cs]e
+0.95|spl-1.0|sun|sun~public~licen[cs]e
+0.95|apsl|apple|apple~public~source~licen[cs]e
+0.95|npl|netscape|netscape~public~licen[cs]e
+0.95|nokia|nokia|nokia~open~source~licen[cs]e
+0.95|rpl|reciprocal|reciprocal~public~licen[cs]e
+0.95|simpl|simple|simple~public~licen[cs]e
+0.95|watcom|watcom|(?:sybase~)?open~watcom~public~licen[cs]e
+0.95|vsl|vovida|vovida~software~licen[cs]e
+0.95|intel|intel|intel~open~source~licen[cs]e
+0.95|lpl|lucent|lucent~public~licen[cs]e
+0.95|motosoto|motosoto|motosoto~open~source~licen[cs]e
+0.95|naumen|naumen|naumen~public~licen[cs]e
+0.95|rscpl|ricoh|ricoh~source~code~public~licen[cs]e
+0.95|rpsl|realnetworks|realnetworks~public~source~licen[cs]e
+0.95|eudatagrid|datagrid|eu~datagrid~software~licen[cs]e
+0.95|entessa|entessa|entessa~public~licen[cs]e
+0.95|frameworx|frameworx|frameworx~open~licen[cs]e
+0.95|cua-opl|cua|cua~office~public~licen[cs]e
+0.95|ogtsl|suite|open~group~test~suite~licen[cs]e
+0.95|oclc|oclc|oclc~(?:research~)?public~licen[cs]e
+0.95|aal|assurance|attribution~assurance~licen[cs]e
+0.95|catosl|associates|computer~associates~trusted~open~source~licen[cs]e
+0.93|gpl-font-exception|font|\bfont~(?:embedding~)?exception
+0.93|gpl-linking-exception|linking|\blinking~exception
+0.93|llvm-exception|llvm|\bllvm~exceptions?
 0.60|license-file|file|see~(?:the~)?(?:accompanying~)?licen[cs]e~file
 0.60|license-mention|licensed|\b(?:dual[- ])?licensed~under\b
 """

@@ -8,6 +8,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import ascii_lower
 from .license_rules import Rule, rules
 
@@ -16,31 +17,45 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 
 _SPAN = "struct<start:int,end:int,order:int,label:string,certainty:double>"
+#: Folds that append to an array do so within stretches of this length, since an append copies the array.
+_STRETCH = 256
 
 
-def _rule_array(table: list[Rule]) -> Column:
-    """The rules as one literal."""
-    return F.from_json(F.lit(json.dumps([asdict(r) for r in table])), "array<struct<order:int,label:string,keyword:string,pattern:string,certainty:double>>")
+def _stretches(array: Column) -> Column:
+    """``array``, which is a variable or a column, as it is looked up for each, cut into arrays of ``_STRETCH`` items."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1)), F.lit(_STRETCH))
+    return F.transform(starts, lambda i: F.slice(array, i, F.lit(_STRETCH)))
 
 
 def _append(array: Column, item: Column) -> Column:
     return F.concat(array, F.array(item))
 
 
+def _ends(sizes: Column) -> Column:
+    """Running sums of an array of integers."""
+    none = F.array().cast("array<int>")
+    within = lambda part: F.aggregate(part, none, lambda sums, n: _append(sums, n + F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0))))
+
+    def join(done: Column, sums: Column) -> Column:
+        before = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))
+        return F.concat(done, F.transform(sums, lambda n: n + before))
+
+    return F.aggregate(F.transform(_stretches(sizes), within), none, join)
+
+
 def _found(low: Column, rule: Column) -> Column:
     """Spans of a rule's matches: what lies between them, by ``split``, gives their places."""
-    matched = F.regexp_extract_all(low, rule["pattern"], F.lit(0))
-    between = F.split(low, rule["pattern"], -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def span(m: Column, end: Column) -> Column:
+        return F.struct((end - F.length(m)).alias("start"), end.alias("end"), rule["order"].alias("order"), rule["label"].alias("label"), rule["certainty"].alias("certainty"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["between"])
-        end = begin + F.length(x["matched"])
-        span = F.struct(begin.alias("start"), end.alias("end"), rule["order"].alias("order"), rule["label"].alias("label"), rule["certainty"].alias("certainty"))
-        return F.struct(end.alias("at"), _append(state["spans"], span).alias("spans"))
+    def spans(matched: Column) -> Column:
+        between = F.slice(F.split(low, rule["pattern"], -1), F.lit(1), F.size(matched))
+        sizes = F.zip_with(matched, between, lambda m, x: F.length(x) + F.length(m))
+        return let(sizes, lambda n: F.zip_with(matched, _ends(n), span))
 
-    pairs = F.transform(matched, lambda m, i: F.struct(F.get(between, i).alias("between"), m.alias("matched")))
-    return F.when(F.size(matched) > 0, F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return let(F.regexp_extract_all(low, rule["pattern"], F.lit(0)), lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none))
 
 
 def _settle(spans: Column) -> Column:
@@ -65,7 +80,17 @@ def _settle(spans: Column) -> Column:
             .otherwise(_append(kept, s))
         )
 
-    return F.aggregate(ordered, empty, step)
+    def go_on(done: Column, part: Column) -> Column:
+        """Only the last span kept so far meets the next stretch."""
+        last = F.slice(done, F.greatest(F.size(done), F.lit(1)), F.lit(1))
+        return F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.aggregate(part, last, step))
+
+    return let(ordered, lambda spans: F.aggregate(_stretches(spans), empty, go_on))
+
+
+def _rule_array(table: list[Rule]) -> Column:
+    """The rules as one literal."""
+    return F.from_json(F.lit(json.dumps([asdict(r) for r in table])), "array<struct<order:int,label:string,keyword:string,pattern:string,certainty:double>>")
 
 
 def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table: list[Rule] | None = None) -> DataFrame:
@@ -75,7 +100,7 @@ def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     the matches of all rules whose keyword occurs, those within another are dropped (equal spans: the later rule's), then of
     two neighbours that still overlap the one of lower priority. Texts are read whole in lower case (A-Z); null is empty: no word,
     place or detection. Null and repeated ids pass; other columns are not read. No shuffle and no Python; the work on a row
-    grows with the square of its detections, which a text of 100,000 characters of nothing but license lines bears.
+    grows with its detections, not with their square.
     """
     table = rules() if table is None else table
     low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
@@ -85,7 +110,6 @@ def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     out = out.withColumn("words", words).withColumn("present", F.filter(keywords, lambda k: F.contains("low", k)))
     active = F.filter(_rule_array(table), lambda r: F.array_contains("present", r["keyword"]))
     spans = F.flatten(F.transform(active, lambda r: _found(F.col("low"), r)))
-    none = F.array().cast(f"array<{_SPAN}>")
     places = F.filter(
         F.transform(
             "words",
@@ -96,12 +120,14 @@ def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         ),
         lambda p: p["label"].isNotNull(),
     )
-    return out.select(
+    none = F.array().cast(f"array<{_SPAN}>")
+    found = out.select(
         F.col("id").alias(id_col),
         F.size("words").cast("long").alias("n_words"),
         F.when(F.contains("low", F.lit("license")), places).otherwise(F.array().cast("array<struct<at:int,label:string>>")).alias("places"),
-        F.when(F.size("present") > 0, _settle(spans)).otherwise(none).alias("detections"),
+        F.when(F.size("present") > 0, spans).otherwise(none).alias("spans"),
     )
+    return found.select(id_col, "n_words", "places", F.when(F.size("spans") > 0, _settle(F.col("spans"))).otherwise(none).alias("detections"))
 
 
 def _phrase(word: Column, i: Column, phrase: tuple[str, ...]) -> Column:
