@@ -11,7 +11,8 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_BLOCK = 1 << 22
+#: Bytes hashed at once; the tables of powers that each worker keeps are 16 times as long.
+_BLOCK = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
