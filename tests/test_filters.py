@@ -116,3 +116,24 @@ def test_filters_of_groups(spark):
     got = {r.g: bytes(r["filter"]) for r in filters.bloom_filters(df.repartition(5), "g", "key").collect()}
     assert got == {g: filters.bloom_bytes(keys) for g, keys in want.items()}
     assert filters.bloom_filters(df.limit(0), "g", "key").count() == 0
+
+
+def test_probes_of_large_groups(spark):
+    """A group's filter, however large, goes to the task of its probes once; probes get the answers that they get one by one."""
+    keys = spark.range(6000).select((F.col("id") % 3).alias("g"), codec.fixed32("id").alias("key"))
+    asked = keys.unionByName(spark.range(6000, 6100).select(F.lit(3).cast("long").alias("g"), codec.fixed32("id").alias("key"))).unionByName(
+        spark.range(10**6, 10**6 + 3000).select((F.col("id") % 3).alias("g"), codec.fixed32("id").alias("key"))
+    )
+    got = filters.probe_filters(asked.repartition(7), filters.bloom_filters(keys, "g", "key"), "g")
+    want = {g: filters.bloom_bytes([le32(i) for i in range(g, 6000, 3)]) for g in range(3)}
+    rows = [(r.g, bytes(r.key), r.may_match) for r in got.collect()]
+    assert sorted((g, k) for g, k, _ in rows) == sorted((r.g, bytes(r.key)) for r in asked.collect())
+    for g in range(4):
+        mine = [(k, m) for h, k, m in rows if h == g]
+        assert [m for _, m in mine] == (filters.bloom_matches([k for k, _ in mine], want[g]).tolist() if g in want else [True] * len(mine))
+
+
+def test_filters_are_not_joined_to_probes(spark, tiny):
+    from tidemark.plans import catalogue
+
+    assert "Join" not in catalogue.bloom_probe_no_false_negative(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()

@@ -28,16 +28,25 @@ def probes_for(bits_per_key: int) -> int:
 
 def bloom_bytes(keys: list[bytes], bits_per_key: int = 10) -> bytes:
     """A filter of ``keys``: its bits, then the number of probes."""
+    return _bloom_of_hashes(hash32_many(keys), bits_per_key)
+
+
+def _bloom_of_hashes(hashes: np.ndarray, bits_per_key: int) -> bytes:
     k = probes_for(bits_per_key)
-    size = (max(len(keys) * bits_per_key, _LEAST_BITS) + 7) // 8
-    first = hash32_many(keys)
-    step = (first >> np.uint32(17)) | (first << np.uint32(15))
-    places = (first[:, None] + step[:, None] * np.arange(k, dtype=np.uint32)) % np.uint32(size * 8)
+    size = (max(len(hashes) * bits_per_key, _LEAST_BITS) + 7) // 8
     bits = np.zeros(size * 8, np.uint8)
-    bits[places.ravel()] = 1
+    for places in _places(hashes, k, size * 8):
+        bits[places] = 1
     return np.packbits(bits, bitorder="little").tobytes() + bytes([k])
 
 
+def _places(hashes: np.ndarray, k: int, bits: int) -> Iterator[np.ndarray]:
+    """The bit of each hash at each of ``k`` probes, a probe at a time."""
+    step = (hashes >> np.uint32(17)) | (hashes << np.uint32(15))
+    for j in range(k):
+        yield (hashes + step * np.uint32(j)) % np.uint32(bits)
+
+
 def bloom_filter(bits_per_key: int = 10) -> Callable[[Column | str], Column]:
     """An aggregate function: the filter of a group's binary keys. Groups are stretches of data and so bounded."""
 
@@ -53,10 +62,11 @@ def bloom_matches(keys: list[bytes], data: bytes) -> np.ndarray:
     k = data[-1] if len(data) > 1 else 0
     if len(data) < 2 or not 1 <= k <= _MOST_PROBES:
         return np.full(len(keys), len(data) > 1)
-    bits = np.unpackbits(np.frombuffer(data[:-1], np.uint8), bitorder="little")
-    first = hash32_many(keys)
-    step = (first >> np.uint32(17)) | (first << np.uint32(15))
-    return bits[(first[:, None] + step[:, None] * np.arange(k, dtype=np.uint32)) % np.uint32(len(bits))].all(axis=1)
+    packed = np.frombuffer(data[:-1], np.uint8)
+    out = np.ones(len(keys), bool)
+    for places in _places(hash32_many(keys), k, len(packed) * 8):
+        out &= (packed[places >> np.uint32(3)] >> (places & np.uint32(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+    return out
 
 
 def bloom_may_match(key: Column | str, filter_: Column | str) -> Column:
@@ -79,36 +89,78 @@ def bloom_may_match(key: Column | str, filter_: Column | str) -> Column:
 
 
 def bloom_filters(rows: DataFrame, group_col: str, key_col: str, bits_per_key: int = 10) -> DataFrame:
-    """``(group_col, filter)``: the filter of each group of binary keys. Groups, which are stretches of data and so bounded, come sorted and are built many to a batch."""
+    """``(group_col, filter)``: the filter of each group of binary keys. Groups come sorted and are built many to a batch; of a group's keys their hashes are held, four bytes each."""
     kind = dict(rows.dtypes)[group_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], batch.schema.field(0).type), pa.array([f for _, f in done], pa.binary())], names=[group_col, "filter"])
 
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         done: list[tuple] = []
         now = batch = None
         begun = False
         for batch in batches:
-            for group, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys = batch.column(1).to_pylist()
+            hashes = hash32_many([b"" if k is None else bytes(k) for k in keys])
+            given = np.array([k is not None for k in keys], bool)
+            for group, first, stop in _runs(batch.column(0).to_pylist()):
                 if begun and group != now:
-                    done.append((now, bloom_bytes(held, bits_per_key)))
+                    done.append((now, _bloom_of_hashes(np.concatenate(held), bits_per_key)))
                     held = []
                 now, begun = group, True
-                if key is not None:
-                    held.append(bytes(key))
+                held.append(hashes[first:stop][given[first:stop]])
             if done:
                 yield out()
                 done = []
         if begun:
-            done = [(now, bloom_bytes(held, bits_per_key))]
+            done = [(now, _bloom_of_hashes(np.concatenate(held), bits_per_key))]
             yield out()
 
     ship_package(rows.sparkSession)
     return rows.select(group_col, key_col).repartition(group_col).sortWithinPartitions(group_col).mapInArrow(run, f"`{group_col}` {kind}, filter binary")
 
 
+def _runs(groups: list) -> Iterator[tuple]:
+    """``(group, first, stop)`` of each stretch of equal neighbours."""
+    first = 0
+    for stop in range(1, len(groups) + 1):
+        if stop == len(groups) or groups[stop] != groups[first]:
+            yield groups[first], first, stop
+            first = stop
+
+
+def probe_filters(probes: DataFrame, filters: DataFrame, group_col: str, key_col: str = "key") -> DataFrame:
+    """``(group_col, key_col, may_match)``: each probe asked of its group's filter, ``filters (group_col, filter)``; a group without one may hold anything.
+
+    A filter comes once, before its group's probes, and not with each of them, so filters may be as large as a row.
+    """
+    kinds = dict(probes.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = data = None
+        begun = False
+        for batch in batches:
+            groups, keys, asked = batch.column(0), batch.column(1).to_pylist(), batch.column(3).to_numpy(zero_copy_only=False)
+            may = np.ones(len(keys), bool)
+            for group, first, stop in _runs(groups.to_pylist()):
+                if not begun or group != now:
+                    now, data, begun = group, None, True
+                for i in range(first, stop):
+                    if asked[i]:
+                        break
+                    data, first = batch.column(2)[i].as_py(), i + 1
+                if data is not None and first < stop:
+                    may[first:stop] = bloom_matches([b"" if k is None else bytes(k) for k in keys[first:stop]], data)
+            yield pa.RecordBatch.from_arrays([groups, batch.column(1), pa.array(may)], names=[group_col, key_col, "may_match"]).filter(pa.array(asked))
+
+    ship_package(probes.sparkSession)
+    first = filters.select(group_col, F.lit(None).cast(kinds[key_col]).alias(key_col), "filter", F.lit(False).alias("asked"))
+    rows = first.unionByName(probes.select(group_col, key_col, F.lit(None).cast("binary").alias("filter"), F.lit(True).alias("asked")))
+    sorted_rows = rows.repartition(group_col).sortWithinPartitions(group_col, "asked")
+    return sorted_rows.mapInArrow(run, f"`{group_col}` {kinds[group_col]}, `{key_col}` {kinds[key_col]}, may_match boolean")
+
+
 def block_filters(df: DataFrame, *, offset_col: str = "block_offset", key_col: str = "key", build: Callable[[Column | str], Column] | None = None) -> DataFrame:
     """``(filter_index, filter)``: a filter for each 2 KiB of data up to the last that has keys, empty where there is none.
 
