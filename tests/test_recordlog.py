@@ -193,3 +193,40 @@ def test_only_offsets_and_sizes_are_sorted(spark):
     for df in (records, drops):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert not any("data" in line or "bytes#" in line and "binary" in line for line in plan.splitlines() if line.strip(" :+-").startswith("Window"))
+
+
+def test_blocks_written_in_stretches(spark):
+    """Logs as blocks, written in stretches side by side and reopened, have the bytes of logs written at once, and give back their records."""
+    rnd = random.Random(5)
+    payloads = [bytes([65 + i % 26]) * rnd.choice((0, 1, 5, 700, B - 30, B - 2 * H, B - H, 3 * B)) for i in range(60)]
+    rows = [(f"log {k}", i, bytearray(p)) for k in range(3) for i, p in enumerate(payloads[k:])] + [("log 0", 99, None)]
+    schema, logs = "path string, place long, payload binary", None
+    for a, b in ((0, 25), (25, 25), (25, 100)):
+        logs = L.extend_blocks(logs, spark.createDataFrame([r for r in rows if a <= r[1] < b], schema).repartition(3), stretch=B + 100)
+    found = {}
+    for r in sorted(logs.collect(), key=lambda r: (r.path, r.place)):
+        assert r.place == len(found.get(r.path, b"")) and len(r.data) <= B
+        found[r.path] = found.get(r.path, b"") + bytes(r.data)
+    assert found == {f"log {k}": write(*payloads[k:]) for k in range(3)}
+    for start in (0, 2 * B + 1000):
+        records, drops = L.parse_blocks(logs, start=start)
+        got = sorted((r.path, r.record_offset, bytes(r.payload)) for r in records.collect())
+        plain = {p: L.read_sequentially(log, start=start) for p, log in found.items()}
+        assert got == sorted((p, at, data) for p, (records, _) in plain.items() for at, data in records)
+        assert sorted((r.path, r.bytes, r.reason) for r in drops.collect()) == sorted((p, n, why) for p, (_, drops) in plain.items() for n, why in drops)
+
+
+def test_record_end():
+    for at in (0, 1, B - 8, B - 7, B - 6, B - 1, B, 3 * B + 5):
+        for n in (0, 1, B - 2 * H, B - H, B - H + 1, 2 * (B - H), 2 * (B - H) + 1, 70_000):
+            start, end = L.record_end(at, n)
+            assert end == at + len(next(L.frame([bytes(n)], at))) and start - at == (B - at % B if B - at % B < H else 0)
+
+
+def test_content_is_not_copied_for_each_block(spark):
+    """Blocks are cut of a row at once, so that no row of content goes beside each of its blocks."""
+    files = spark.createDataFrame([("a", bytearray(FOO))], "path string, content binary")
+    plan = L.log_blocks(files)._jdf.queryExecution().optimizedPlan()
+    (generate,) = [n for n in (plan.apply(i) for i in range(20)) if n is not None and n.nodeName() == "Generate"]
+    kept = generate.requiredChildOutput()
+    assert [kept.apply(i).name() for i in range(kept.size())] == ["path"]

@@ -236,18 +236,17 @@ records AS (SELECT r.p, r.i, r.start, r.stop, d.n, d.text FROM r JOIN d ON d.p =
 
 
 def logs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as ``LOGS`` log files ``(path, content)``, in order of their ids; the second half is added to reopened logs."""
+    """Documents as ``LOGS`` logs, in order of their ids, by blocks ``(path, place, data)``; the second half is added to reopened logs."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     rows = docs.select(F.concat(F.lit("log-"), (F.col("doc_id") % LOGS).cast("string")).alias("path"), F.col("doc_id").alias("place"), F.col("text").cast("binary").alias("payload"))
-    late = F.col("place") >= docs.agg(F.max("doc_id")).first()[0] // 2
-    none = spark.createDataFrame([], "path string, content binary")
-    return recordlog.extend_logs(recordlog.extend_logs(none, rows.where(~late)), rows.where(late))
+    late = F.col("place") >= (docs.agg(F.max("doc_id")).first()[0] or 0) // 2
+    return recordlog.extend_blocks(recordlog.extend_blocks(None, rows.where(~late)), rows.where(late))
 
 
 @query(f"WITH RECURSIVE {_PLACES} SELECT 'log-' || p AS path, start AS record_offset, md5(text) AS text_md5 FROM records")
 def log_append_reopened(spark, sf_dir):
     """Logs written, reopened and added to: every record, where it begins, and its text."""
-    records, _ = recordlog.parse(logs_of(spark, sf_dir))
+    records, _ = recordlog.parse_blocks(logs_of(spark, sf_dir))
     return records.select("path", "record_offset", F.md5("payload").alias("text_md5"))
 
 
@@ -257,7 +256,7 @@ START = 2 * _B + 1000
 @query(f"WITH RECURSIVE {_PLACES} SELECT 'log-' || p AS path, start AS record_offset, md5(text) AS text_md5 FROM records WHERE start >= {START}")
 def log_start_offset(spark, sf_dir):
     """Records that begin at or after an offset within the third block."""
-    records, _ = recordlog.parse(logs_of(spark, sf_dir), start=START)
+    records, _ = recordlog.parse_blocks(logs_of(spark, sf_dir), start=START)
     return records.select("path", "record_offset", F.md5("payload").alias("text_md5"))
 
 
@@ -274,13 +273,9 @@ drops AS (SELECT '{recordlog.MISMATCH}' AS reason, bytes FROM hurt
 SELECT reason, count(*) AS times, CAST(sum(bytes) AS BIGINT) AS bytes FROM drops GROUP BY reason""")
 def log_corruption_report(spark, sf_dir):
     """Drops by reason of logs in which the first byte of data of every fifth block is changed."""
-    cuts = F.sequence(F.lit(0), F.length("content") - 1, F.lit(_B))
-    damaged = F.transform(
-        F.transform(cuts, lambda c: F.substring("content", c + 1, F.lit(_B))),
-        lambda b, i: F.when((i % 5 == 2) & (F.length(b) > 200), F.concat(F.substring(b, F.lit(1), F.lit(_H)), F.lit(b"\xff"), F.substring(b, F.lit(_H + 2), F.lit(_B)))).otherwise(b),
-    )
-    logs = logs_of(spark, sf_dir).select("path", F.aggregate(damaged, F.lit(b""), lambda a, b: F.concat(a, b)).alias("content"))
-    _, drops = recordlog.parse(logs)
+    hurt = (F.floor(F.col("place") / _B) % 5 == 2) & (F.length("data") > 200)
+    changed = F.concat(F.substring("data", 1, _H), F.lit(b"\xff"), F.substring("data", _H + 2, _B))
+    _, drops = recordlog.parse_blocks(logs_of(spark, sf_dir).withColumn("data", F.when(hurt, changed).otherwise(F.col("data"))))
     return drops.groupBy("reason").agg(F.count("*").alias("times"), F.sum("bytes").alias("bytes"))
 
 
@@ -288,9 +283,10 @@ def log_corruption_report(spark, sf_dir):
 def log_sizes(spark, sf_dir):
     """What writing takes: the records and bytes of each log."""
     logs = logs_of(spark, sf_dir)
-    records, _ = recordlog.parse(logs)
+    records, _ = recordlog.parse_blocks(logs)
     n = records.groupBy("path").agg(F.count("*").alias("records"))
-    return logs.select("path", F.length("content").cast("long").alias("end_")).join(n, "path").select("path", "records", "end_")
+    ends = logs.groupBy("path").agg(F.max(F.col("place") + F.length("data")).alias("end_"))
+    return ends.join(n, "path").select("path", "records", "end_")
 
 
 assert MAX_SEQ == (1 << 56) - 1  # the version in the SQL of separators

@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from ..functions.hashing import crc32c_bytes, crc_mask_value, crc_unmask_value
+from ..functions.text import let
 from ..schema import LOG_RECORD
 from ..session import ship_package
 
@@ -94,7 +95,7 @@ def encode_log(df: DataFrame, payload_col: str = "payload", *, most: int = LOG_B
 def extend_logs(logs: DataFrame, rows: DataFrame) -> DataFrame:
     """Logs ``(path, content)`` reopened: the payloads of ``rows (path, place, payload)``, by place, are added to the log of their path, or to a new one.
 
-    A log is one sequence of bytes, so one task writes a log; logs are as many as the writer wants. Null payloads are left out.
+    One task writes a log, which is one row and fits it; :func:`extend_blocks` is for longer ones. Null payloads are left out.
     """
 
     def run(old: pa.Table, new: pa.Table) -> pa.Table:
@@ -108,6 +109,122 @@ def extend_logs(logs: DataFrame, rows: DataFrame) -> DataFrame:
     return old.cogroup(new).applyInArrow(run, "path string, content binary")
 
 
+#: A log's new bytes are written in stretches of about this many, each by one task.
+STRETCH = 8 << 20
+
+
+def record_end(at: int, size: int, block: int = BLOCK) -> tuple[int, int]:
+    """Where a record of ``size`` bytes begins and ends in a log of ``at`` bytes."""
+    left = block - at % block
+    start = at + left if left < HEADER else at
+    room = block - start % block - HEADER
+    if size <= room:
+        return start, start + HEADER + size
+    more = -(-(size - room) // (block - HEADER))
+    return start, start - start % block + more * block + HEADER + (size - room) - (more - 1) * (block - HEADER)
+
+
+def extend_blocks(blocks: DataFrame | None, rows: DataFrame, *, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
+    """Logs as blocks ``(path, place, data)``, or none, reopened: as :func:`extend_logs`, for logs longer than a row or a task holds.
+
+    Where a record begins hangs on all before it, so the sizes of a log's payloads, and no more of them, go through one task, which
+    tells where each stretch of records begins. Stretches are then written side by side, and the blocks they share are put together.
+    Rows of one place are in the order of their sizes and bytes, and in one stretch.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    (kind,) = (t for c, t in rows.dtypes if c == "place")
+    rows = rows.select("path", "place", F.col("payload").cast("binary").alias("payload")).where("payload is not null")
+    sizes = rows.select("path", F.lit(1).alias("new"), "place", F.length("payload").cast("long").alias("size"))
+    if blocks is not None:
+        ends = blocks.groupBy("path").agg(F.max(F.col("place") + F.length("data")).alias("size"))
+        sizes = sizes.unionByName(ends.select("path", F.lit(0).alias("new"), F.lit(None).cast(kind).alias("place"), "size"))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, place, at, due = False, None, None, 0, 0
+        for batch in batches:
+            found: list[tuple] = []
+            for path, new, here, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or path != now:
+                    begun, now, place, at, due = True, path, None, 0, -1
+                if not new:
+                    at = size
+                    continue
+                if due < 0 or (at >= due and here != place):
+                    found.append((path, here, at))
+                    due = at + stretch
+                place, at = here, record_end(at, size, block)[1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), (batch.schema.field(0), batch.schema.field(2), pa.field("at", pa.int64())))], names=["path", "place", "at"])
+
+    order = [F.col("path"), F.col("new"), F.col("place").asc_nulls_last(), F.col("size")]
+    begins = sizes.select("path", "new", "place", "size").repartition("path").sortWithinPartitions(*order).mapInArrow(begin, f"path string, place {kind}, at bigint")
+    # a row for each STRETCH bytes of new log
+    cuts: dict[str | None, tuple[list, list[int]]] = {}
+    for path, place, at in sorted((tuple(r) for r in begins.collect()), key=lambda r: r[2]):
+        places, offsets = cuts.setdefault(path, ([], []))
+        places.append(place)
+        offsets.append(at)
+    cuts_sent = spark.sparkContext.broadcast(cuts)
+
+    def stretch_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from bisect import bisect_right
+
+        cuts = cuts_sent.value
+        for paths, places in batches:
+            out = []
+            for path, place in zip(paths.to_pylist(), places.to_pylist()):
+                begins, offsets = cuts[path]
+                known = len(begins) - (begins[-1] is None)  # rows without a place come last
+                out.append(offsets[-1] if place is None else offsets[max(bisect_right(begins, place, 0, known) - 1, 0)])
+            yield pa.array(out, pa.int64())
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, at, first, held = False, None, 0, 0, []
+
+        def cut(data: bytes, whole: bool) -> tuple[list[tuple], bytes, int]:
+            """The blocks of ``data`` from ``first`` on, and what is left unless ``whole``."""
+            out, done = [], 0
+            while done < len(data):
+                n = block - (first + done) % block
+                if len(data) - done < n and not whole:
+                    break
+                out.append((now[0], (first + done) // block * block, first + done, data[done : done + n]))
+                done += n
+            return out, data[done:], first + min(done, len(data))
+
+        for batch in batches:
+            found: list[tuple] = []
+            for path, begins, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or (path, begins) != now:
+                    if begun:
+                        found += cut(b"".join(held), True)[0]
+                    begun, now, at, first, held = True, (path, begins), begins, begins, []
+                (data,) = frame([payload], at, block)
+                held.append(data)
+                at += len(data)
+                if at - first >= 1 << 20:
+                    more, rest, first = cut(b"".join(held), False)
+                    found, held = found + more, [rest]
+            if found:
+                yield fragments(found)
+        if begun and (found := cut(b"".join(held), True)[0]):
+            yield fragments(found)
+
+    def fragments(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["path", "place", "at", "data"])
+
+    begun_at = F.arrow_udf(stretch_of, "bigint")("path", "place")
+    dealt = rows.withColumn("begins", begun_at).repartition("path", "begins")
+    dealt = dealt.sortWithinPartitions("path", "begins", F.col("place").asc_nulls_last(), F.length("payload"), "payload")
+    parts = dealt.select("path", "begins", "payload").mapInArrow(write, "path string, place bigint, at bigint, data binary")
+    if blocks is not None:
+        parts = parts.unionByName(blocks.select("path", "place", F.col("place").alias("at"), "data"))
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "data"))), F.lit(b""), lambda a, p: F.concat(a, p["data"]))
+    return parts.groupBy("path", "place").agg(joined.alias("data"))
+
+
 # Reading
 
 
@@ -201,29 +318,30 @@ _EVENT = "path string, at bigint, end bigint, kind string, size bigint, lost big
 
 
 def log_blocks(files: DataFrame, *, start: int = 0, block: int = BLOCK) -> DataFrame:
-    """``(path, place, data, short)``: the blocks of ``files (path, content)`` dealt out, so that one large file is parsed by many tasks."""
+    """``(path, place, data)``: the blocks of ``files (path, content)`` dealt out, so that one large file is parsed by many tasks."""
     size = F.length("content")
     places = F.sequence(F.lit(first_block(start, block)), size - 1, F.lit(block))
-    blocks = files.where(size > first_block(start, block)).select("path", size.alias("size"), "content", F.explode(places).alias("place"))
-    blocks = blocks.select("path", F.col("place").cast("long").alias("place"), F.substring("content", F.col("place") + 1, F.lit(block)).alias("data"), (F.col("size") - F.col("place") < block).alias("short"))
+    # cut all at once: a row of content that goes beside each of its blocks would be copied as often
+    cut = let(F.col("content"), lambda content: F.transform(places, lambda at: F.struct(at.cast("long").alias("place"), F.substring(content, at + 1, F.lit(block)).alias("data"))))
+    blocks = files.where(size > first_block(start, block)).select("path", F.explode(cut).alias("b")).select("path", "b.place", "b.data")
     return blocks.repartition("path", "place")
 
 
-def log_events(blocks: DataFrame, *, verify: bool = True, start: int = 0) -> DataFrame:
-    """Events of blocks, with the sizes of their data."""
+def log_events(blocks: DataFrame, *, verify: bool = True, start: int = 0, block: int = BLOCK) -> DataFrame:
+    """Events of blocks, with the sizes of their data. A block of fewer than ``block`` bytes is one that the file's end cuts short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, place, data, short in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(path, at, end, kind, len(part), lost, reason) for at, end, kind, part, lost, reason in block_events(data, place, short=short, verify=verify, start=start)]
+            for path, place, data in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(path, at, end, kind, len(part), lost, reason) for at, end, kind, part, lost, reason in block_events(data, place, short=len(data) < block, verify=verify, start=start)]
             if rows:
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
                 names = ["path", "at", "end", "kind", "size", "lost", "reason"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     ship_package(blocks.sparkSession)
-    return blocks.select("path", "place", "data", "short").mapInArrow(run, _EVENT)
+    return blocks.select("path", "place", "data").mapInArrow(run, _EVENT)
 
 
 def _grouped(events: DataFrame, start: int) -> DataFrame:
@@ -247,8 +365,13 @@ def parse(files: DataFrame, *, verify: bool = True, start: int = 0, block: int =
     Across a file only offsets and sizes are looked at. The bytes of a record's fragments come from the blocks that hold them, and are
     gathered record by record; a record fits a row anyhow.
     """
-    blocks = log_blocks(files, start=start, block=block)
-    rows = _grouped(log_events(blocks, verify=verify, start=start), start)
+    return parse_blocks(log_blocks(files, start=start, block=block), verify=verify, start=start, block=block)
+
+
+def parse_blocks(blocks: DataFrame, *, verify: bool = True, start: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """As :func:`parse`, of logs as blocks ``(path, place, data)``, which may be longer than a row holds."""
+    blocks = blocks.where(F.col("place") >= first_block(start, block)).select("path", "place", "data")
+    rows = _grouped(log_events(blocks, verify=verify, start=start, block=block), start)
     member = (F.col("head") == "first") & ~F.col("closed")
     wanted = rows.where(member | (F.col("kind") == "full")).select("path", (F.col("at") - F.col("at") % block).alias("place"), "at", "kind", "size", "group")
     held = blocks.select("path", "place", F.col("data").alias("bytes"))
