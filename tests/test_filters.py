@@ -137,3 +137,9 @@ def test_filters_are_not_joined_to_probes(spark, tiny):
     from tidemark.plans import catalogue
 
     assert "Join" not in catalogue.bloom_probe_no_false_negative(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_serialized_in_one_walk(spark):
+    built = spark.range(3).select(F.col("id").alias("filter_index"), codec.fixed32("id").alias("filter"))
+    plan = filters.serialize_filters(built)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "aggregate(" not in plan

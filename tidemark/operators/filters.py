@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import byte_at, decode_fixed32, fixed32
+from ..functions.codec import byte_at, decode_fixed32
 from ..functions.hashing import hash32_many
 from ..functions.text import let
 from ..session import ship_package
@@ -175,13 +175,18 @@ def block_filters(df: DataFrame, *, offset_col: str = "block_offset", key_col: s
 
 def serialize_filters(filters: DataFrame) -> DataFrame:
     """One row, ``block``: the filters, their offsets, the offsets' place, the logarithm of the span. For one table's filters, which fit a row."""
-    ordered = filters.agg(F.array_sort(F.collect_list(F.struct("filter_index", "filter"))).alias("f")).select(F.transform("f", lambda x: x["filter"]).alias("f"))
-    sizes = F.transform("f", lambda x: F.length(x))
-    offsets = F.transform("f", lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n))
-    total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
-    empty = F.lit(b"")
-    join = lambda parts: F.aggregate(parts, empty, lambda a, b: F.concat(a, b))
-    return ordered.select(F.concat(join(F.col("f")), join(F.transform(offsets, lambda o: fixed32(o.cast("long")))), fixed32(total.cast("long")), F.lit(bytes([SPAN_BITS]))).alias("block"))
+
+    @F.pandas_udf("binary")
+    def whole(lists: pd.Series) -> pd.Series:
+        def block(parts: list[bytes]) -> bytes:
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)  # each filter's offset, then the offsets' place
+            return b"".join((*parts, ends.astype("<u4").tobytes(), bytes([SPAN_BITS])))
+
+        return lists.map(lambda parts: block([bytes(p) for p in parts]))
+
+    ship_package(filters.sparkSession)
+    ordered = filters.agg(F.array_sort(F.collect_list(F.struct("filter_index", "filter"))).alias("f"))
+    return ordered.select(whole(F.transform("f", lambda x: x["filter"])).alias("block"))
 
 
 def parse_filters(block: Column | str) -> Column:
@@ -190,7 +195,11 @@ def parse_filters(block: Column | str) -> Column:
     A filter whose bounds are not in order or lie beyond the offsets' place is null. Null as a whole for a block that is too short or
     whose offsets would lie outside it.
     """
-    block = F.col(block) if isinstance(block, str) else block
+    # held as it is: a row's bytes are copied each time that a column is looked at
+    return let(F.col(block) if isinstance(block, str) else block, _parsed)
+
+
+def _parsed(block: Column) -> Column:
     n = F.length(block)
 
     def parsed(end: Column) -> Column:
