@@ -158,3 +158,10 @@ def test_decimal_rejected(spark, bad):
 def test_escape_and_status(spark):
     row = one(spark, text.escape_bytes(lit(b"a\\b\x00\x7f\xff ~")), text.escape_bytes(lit(b"")), text.status_text(F.lit("not_found"), F.lit("m"), F.lit("d")), text.status_text(F.lit("ok"), F.lit("m")))
     assert list(row) == ["a\\b\\x00\\x7f\\xff ~", "", "NotFound: m: d", "OK"]
+
+
+def test_varints_look_at_their_data_once(spark):
+    data = F.col("id").cast("string").cast("binary")
+    for made in (codec.decode_varint(data), codec.take_length_prefixed(data), codec.varint(F.col("id") * 3)):
+        plan = spark.range(1).select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+        assert plan.count("id#") == 1

@@ -76,29 +76,32 @@ def varint_length(v: Column | str) -> Column:
 
 def varint(v: Column | str) -> Column:
     """Seven bits a byte, least significant first, the top bit set on all bytes but the last. Also of 32-bit values."""
-    v = _column(v).cast("long")
-    n = varint_length(v).cast("int")
-    digits = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.lpad(F.hex(_shift_right(v, i * 7).bitwiseAND(127).bitwiseOR(F.when(i < n - 1, 128).otherwise(0))), 2, "0"),
-    )
-    return hex_bytes(F.array_join(digits, ""))
+    return let(_column(v).cast("long"), _varint)
+
+
+def _varint(v: Column) -> Column:
+    def byte(i: int) -> Column:
+        more = F.when(_shift_right(v, 7 * i + 7) != 0, 128).otherwise(0) if i < 9 else F.lit(0)
+        return _shift_right(v, 7 * i).bitwiseAND(127).bitwiseOR(more)
+
+    head = reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(byte(i), 56 - 8 * i) for i in range(8)))
+    tail = F.shiftleft(byte(8), 8).bitwiseOR(byte(9))
+    digits = F.concat(F.lpad(F.hex(head), 16, "0"), F.lpad(F.hex(tail), 4, "0"))
+    return hex_bytes(F.substring(digits, F.lit(1), varint_length(v).cast("int") * 2))
 
 
 def decode_varint(data: Column | str, bits: int = 64) -> Column:
     """``struct(value, size)`` of the varint at the start, or null where it is cut short or longer than ``bits`` allow (5 or 10 bytes)."""
-    data = _column(data)
     most = 5 if bits == 32 else 10
-    byte = F.transform(F.sequence(F.lit(0), F.least(F.length(data), F.lit(most)) - 1), lambda i: byte_at(data, i))
-    byte = F.when(F.length(data) > 0, byte).otherwise(F.array().cast("array<bigint>"))
+    latin = F.decode(F.substring(_column(data), F.lit(1), F.lit(most)), "ISO-8859-1")  # a character for each byte
 
-    def value(byte: Column, n: Column) -> Column:
-        parts = F.transform(F.slice(byte, F.lit(1), n.cast("int")), lambda b, i: F.call_function("shiftleft", b.bitwiseAND(127), i * 7))
-        total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(p))
+    def value(whole: Column) -> Column:
+        parts = (F.shiftleft(F.ascii(F.substring(whole, i + 1, 1)).cast("long").bitwiseAND(127), 7 * i) for i in range(most))  # what is past the end counts as 0
+        total = reduce(lambda a, b: a.bitwiseOR(b), parts)
         total = total.bitwiseAND(0xFFFFFFFF) if bits == 32 else total
-        return F.when(n > 0, F.struct(total.alias("value"), n.alias("size")))
+        return F.when(whole != "", F.struct(total.alias("value"), F.length(whole).cast("long").alias("size")))
 
-    return let(byte, lambda b: let(F.array_position(F.transform(b, lambda x: x < 128), True), lambda n: value(b, n)))
+    return let(F.regexp_extract(latin, "\\A[\\x80-\\xff]*[\\x00-\\x7f]", 0), value)
 
 
 def length_prefixed(data: Column | str) -> Column:
@@ -107,15 +110,16 @@ def length_prefixed(data: Column | str) -> Column:
 
 def take_length_prefixed(data: Column | str) -> Column:
     """``struct(value, rest)``: the first length-prefixed bytes and what follows, or null where they are cut short."""
-    data = _column(data)
-    head = decode_varint(data, 32)
-    start = head["size"].cast("int")
-    size = head["value"].cast("int")
-    whole = F.length(data) >= start + size
-    return F.when(
-        head.isNotNull() & whole,
-        F.struct(F.substring(data, start + 1, size).alias("value"), F.substring(data, start + size + 1, F.length(data)).alias("rest")),
-    )
+
+    def taken(data: Column, head: Column) -> Column:
+        start = head["size"].cast("int")
+        size = head["value"]  # up to 2**32-1
+        return F.when(
+            head.isNotNull() & (F.length(data) >= start + size),
+            F.struct(F.substring(data, start + 1, size.cast("int")).alias("value"), F.substring(data, start + size.cast("int") + 1, F.length(data)).alias("rest")),
+        )
+
+    return let(_column(data), lambda d: let(decode_varint(d, 32), lambda head: taken(d, head)))
 
 
 def split_length_prefixed(data: Column | str) -> Column:
@@ -124,8 +128,12 @@ def split_length_prefixed(data: Column | str) -> Column:
     start = F.struct(data.alias("rest"), F.array().cast("array<binary>").alias("found"))
 
     def step(state: Column, _: Column) -> Column:
-        got = take_length_prefixed(state["rest"])
-        return F.when(got.isNull(), state).otherwise(F.struct(got["rest"].alias("rest"), F.concat(state["found"], F.array(got["value"])).alias("found")))
+        def after(got: Column) -> Column:  # nothing is left to take where what is left is cut short
+            return F.when(got.isNull(), F.struct(F.lit(b"").alias("rest"), state["found"].alias("found"))).otherwise(
+                F.struct(got["rest"].alias("rest"), F.concat(state["found"], F.array(got["value"])).alias("found"))
+            )
+
+        return F.when(F.length(state["rest"]) > 0, let(take_length_prefixed(state["rest"]), after)).otherwise(state)
 
     turns = F.sequence(F.lit(1), F.greatest(F.length(data), F.lit(1)))
     return F.aggregate(turns, start, step, lambda s: s["found"])
